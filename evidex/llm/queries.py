@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, topk, warc
+from . import embdedup, langid, mixing, packing, secrets, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1,
+        "op4_langid": langid.op4,
+        "op5_packing": packing.op5,
         "op6_secrets": secrets.op6,
         "op7_mixing": mixing.op7,
         "op9_warc": warc.op9,
+        "op10_embeddings": embdedup.op10,
     }
 
 
