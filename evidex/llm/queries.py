@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embdedup, langid, mixing, packing, secrets, topk, warc
+from . import embdedup, langid, mixing, neardup, packing, secrets, topk, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_packing": packing.op5,
         "op6_secrets": secrets.op6,
         "op7_mixing": mixing.op7,
+        "op8_neardup": neardup.op8,
         "op9_warc": warc.op9,
         "op10_embeddings": embdedup.op10,
     }
