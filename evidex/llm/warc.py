@@ -42,10 +42,11 @@ def write_archive(pages: DataFrame, path: str, min_revisit: int = 100) -> None:
     """
     rec = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", _payload().alias("payload")).withColumn("digest", F.sha2("payload", 256)).withColumn("n", F.length("payload").cast("long"))
     first = rec.groupBy("digest").agg(F.min("page_id").alias("keeper"))
-    # payload bytes once: the rows of the keeper, one of them if the row itself is repeated
     f = first.withColumnRenamed("digest", "f_digest")
-    kept = rec.select("digest", "page_id", "payload").join(f, (F.col("digest") == F.col("f_digest")) & F.col("page_id").eqNullSafe(F.col("keeper")), "left_semi")
-    kept.groupBy("digest", "page_id").agg(F.first("payload").alias("payload")).select("digest", "payload").write.mode("overwrite").parquet(f"{path}/blobs")
+    # payload bytes once: the row of the keeper, one if it is repeated. Join and grouping have the same plain keys (no null), so they share one exchange
+    key = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
+    kept = rec.select("digest", key("page_id").alias("key"), "payload").join(first.select("digest", key("keeper").alias("key")), ["digest", "key"], "left_semi")
+    kept.groupBy("digest", "key").agg(F.first("payload").alias("payload")).select("digest", "payload").write.mode("overwrite").parquet(f"{path}/blobs")
     h = rec.drop("payload").join(f, F.col("digest") == F.col("f_digest"))
     revisit = (F.col("n") >= min_revisit) & F.col("page_id").isNotNull() & (F.col("page_id") != F.col("keeper"))
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
