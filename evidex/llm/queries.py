@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import embdedup, langid, mixing, neardup, packing, secrets, topk, warc
+from . import embdedup, langid, mixing, neardup, packing, secrets, suffix, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1,
+        "op2_suffix": suffix.op2,
         "op4_langid": langid.op4,
         "op5_packing": packing.op5,
         "op6_secrets": secrets.op6,
