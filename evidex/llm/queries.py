@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embdedup, langid, mixing, neardup, packing, secrets, suffix, topk, warc
+from . import compact, embdedup, langid, mixing, neardup, packing, secrets, suffix, topk, warc
 
 
 def queries() -> dict:
     return {
         "op1_topk": topk.op1,
         "op2_suffix": suffix.op2,
+        "op3_compact": compact.op3,
         "op4_langid": langid.op4,
         "op5_packing": packing.op5,
         "op6_secrets": secrets.op6,
