@@ -211,11 +211,11 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, span: int = SPAN) -> Ne
     return net
 
 
-def identify(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
-    """docs with lang_pred and score; labelled rows (doc_id, text, lang) train the network. Reads text only."""
+def identify(docs: DataFrame, labelled: DataFrame, names: tuple[str, str] = ("lang_pred", "score"), **options) -> DataFrame:
+    """docs with the predicted language and its score, under `names` (columns of docs with these names give way); labelled rows (doc_id, text, lang) train the network. Reads text only."""
     net = train(labelled, **options)
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    keep = [c for c in docs.columns if c not in names]
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
     flagged = docs.select(*keep, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_has_letter"))
 
     def run(batches):
@@ -228,11 +228,18 @@ def identify(docs: DataFrame, labelled: DataFrame, **options) -> DataFrame:
                     mean = net.documents(*string_bytes(part))
                     pred[s : s + 512], score[s : s + 512] = np.array(net.langs, dtype=object)[mean.argmax(1)], mean.max(1)
                 pred[~letter], score[~letter] = "und", 0.0
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*keep, *names])
 
     return flagged.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, least_score: float = 0.35) -> DataFrame:
+    """Rows of docs whose text has a language: not und, and predicted with at least least_score."""
+    names = ("_lang_pred", "_lang_score")
+    out = identify(docs, docs.where(~held_out()).select("doc_id", "text", "lang"), names)
+    return out.where((F.col(names[0]) != "und") & (F.col(names[1]) >= least_score)).select(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id") -> F.Column:
     return crc32_of(doc_id) % 4 == 2
 

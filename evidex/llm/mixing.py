@@ -83,6 +83,11 @@ def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[fixed[c].alias(c) if c in fixed else F.col(c) for c in columns])
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix of docs as rows of docs' columns."""
+    return materialise(mix(docs, **options), docs.columns)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

@@ -244,10 +244,10 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, miss: float = MISS) -> DataFrame:
-    """Rows of docs whose id is its component's smallest; of rows repeated under one id, one."""
+    """Rows of docs whose id is its component's smallest; of rows repeated under one id, one, found in the partitions of the join."""
     gone = near_duplicates(docs, miss).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).unionByName(left.where("doc_id IS NULL"))
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -5,6 +5,12 @@ from __future__ import annotations
 from . import compact, embdedup, langid, mixing, neardup, packing, secrets, suffix, topk, warc
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_topk": topk.op1,
@@ -17,6 +23,7 @@ def queries() -> dict:
         "op8_neardup": neardup.op8,
         "op9_warc": warc.op9,
         "op10_embeddings": embdedup.op10,
+        "pipeline": _pipeline,
     }
 
 
