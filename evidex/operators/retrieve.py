@@ -13,6 +13,7 @@ from ..functions import text as X
 from ..functions import vocab as V
 
 KEY = ["doc_id", "chunk_index"]
+FEW_STARTS = 256
 
 
 def _key(kind: str, value: Column) -> Column:
@@ -83,7 +84,12 @@ def term_scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     q = queries.select("query_id", asked.alias("asked"), "text_terms")
     qk = q.select("query_id", F.explode(F.array_distinct(F.transform("asked", lambda t: F.substring(t, 1, 3)))).alias("g"))
     body = F.lower(F.col("search_text"))
-    c = chunks.select(*KEY, "search_text").withColumn("g", F.explode(F.concat(_grams(body), F.filter(_grams(body, 2), lambda x: x.rlike(r"\d")), F.filter(_grams(body, 1), lambda x: x.rlike(r"\d")))))
+    few = [r["g"] for r in qk.select("g").distinct().limit(FEW_STARTS + 1).collect()]
+    if len(few) <= FEW_STARTS:  # a small batch: test its own starts, at most FEW_STARTS strings, on every chunk
+        have = F.filter(X.words_in(few), lambda g: F.contains(body, g)) if few else F.array().cast("array<string>")
+    else:
+        have = F.concat(_grams(body), F.filter(_grams(body, 2), lambda x: x.rlike(r"\d")), F.filter(_grams(body, 1), lambda x: x.rlike(r"\d")))
+    c = chunks.select(*KEY, F.explode(have).alias("g"))
     pairs = c.join(qk, "g").select("query_id", *KEY).distinct()
     rows = pairs.join(chunks.select(*KEY, "search_text"), KEY).join(q, "query_id")
     hit = F.filter("asked", lambda t: F.contains(F.lower(F.col("search_text")), t))

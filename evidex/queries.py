@@ -342,3 +342,214 @@ FILTER_ROWS = [(0, None, "FM-GST-2026-2001", None, None, 2026, None, None), (4,
 def query_filters(spark, sf):
     wanted = [r[0] for r in FILTER_ROWS]
     return router.with_filters(route_batch(spark, sf)).where(F.col("query_id").isin(wanted)).select("query_id", *router.FILTERS)
+
+
+# ---- retrieval: a small batch of queries against every rendered document or item row ----
+BATCH = [(1, "qty of part P-000017"), (2, "material code P-000123 Nos"), (3, "supplier 000000007 grand total"), (4, "INV-00000501"), (5, "bill of material for customer 000000101"), (6, "invoice total 1234.50"), (7, "the of and"), (8, "part 000000055 nos quantity 12")]
+BATCH_SQL = "q(query_id, text) AS (VALUES " + ", ".join(f"({i}, {lit(t)})" for i, t in BATCH) + ")"
+
+
+def batch(spark) -> DataFrame:
+    return spark.createDataFrame(BATCH, "query_id long, text string")
+
+
+def row_chunks(spark, sf) -> DataFrame:
+    """Item rows of all rendered documents as chunks."""
+    rows = chunks.table_row_chunks(chunks.page_lines(rendered(spark, sf)))
+    return rows.select("doc_id", F.col("pos").alias("chunk_index"), "page_number", "section", "chunk_text", "evidence_type", F.lower(X.normal_search("chunk_text")).alias("search_text"))
+
+
+ROW_CHUNKS = f"{RENDERED}, src AS (SELECT doc_id, text FROM rendered), {LINES}, {TABLE_ROWS}, ch AS (SELECT doc_id, pos AS chunk_index, section, chunk_text, lower({ns('chunk_text')}) AS search_text FROM tr)"
+TERMS = f"""qt0 AS (SELECT query_id, text, list_filter(regexp_extract_all(lower({ns('text')}), '[a-z0-9./-]+'), lambda t: NOT list_contains({lst(V.SEARCH_STOP)}, t) AND (length(t) >= 3 OR regexp_matches(t, '\\d'))) AS ts FROM q),
+qt1 AS (SELECT query_id, text, list_distinct(list_concat(ts, list_filter(flatten(list_transform(ts, lambda t: {variants_sql('t')})), lambda x: length(x) >= 3 OR regexp_matches(x, '\\d')))) AS terms FROM qt0),
+qt AS (SELECT query_id, text, terms, CASE WHEN len(terms) > 0 THEN terms ELSE list_filter([lower({ns('text')})], lambda x: x <> '') END AS asked, list_filter(terms, lambda t: NOT regexp_matches(t, '\\d')) AS words FROM qt1)"""
+SCORED = """sc0 AS (SELECT query_id, doc_id, chunk_index, list_filter(asked, lambda t: contains(lower(search_text), t)) AS hit, words, list_transform(words, lambda w: coalesce(list_position(regexp_extract_all(lower(search_text), '[a-z0-9]+'), w), 0)) AS ps FROM qt, ch),
+sc AS (SELECT query_id, doc_id, chunk_index, round(len(list_filter(hit, lambda x: regexp_matches(x, '\\d'))) * 0.8 + len(list_filter(hit, lambda x: NOT regexp_matches(x, '\\d'))) * 0.18
+  + CASE WHEN len(words) > 0 AND list_min(ps) > 0 THEN 0.1 / (1 + greatest(list_max(ps) - list_min(ps) + 1 - len(list_distinct(words)), 0)) ELSE 0 END, 6) AS score FROM sc0 WHERE len(hit) > 0)"""
+
+
+@query(f"WITH {BATCH_SQL}, {ROW_CHUNKS}, {TERMS}, {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM sc) SELECT query_id, doc_id, chunk_index, score, rank FROM k WHERE rank <= 20")
+def lexical_score(spark, sf):
+    scored = retrieve.term_scored(row_chunks(spark, sf), router.routed(batch(spark)))
+    return index.top_k(scored, 20).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
+BM25 = f"""bm AS (WITH t AS (SELECT query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS w FROM q),
+tk AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS ts FROM documents), st AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tk),
+p AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS w FROM tk) GROUP BY 1, 2, 3), df AS (SELECT w, count(*) AS df FROM p GROUP BY 1)
+SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM t JOIN p USING (w) JOIN df USING (w), st GROUP BY 1, 2)"""
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {BM25}, k AS (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM bm) SELECT * FROM k WHERE rank <= 10")
+def bm25_topk(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    scored = index.bm25(d, q, {"text": 1.0}).withColumn("score", F.round("score", 4))
+    return index.top_k(scored, 10).drop("chunk_index")
+
+
+HASHED = """hv AS (WITH t AS (SELECT id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS h FROM hsrc),
+s AS (SELECT id, CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 384 AS slot, sum(CASE WHEN CAST(('0x' || substring(h, 9, 2)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM t GROUP BY 1, 2)
+SELECT id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM s WHERE v <> 0)"""
+
+
+@query(f"WITH hsrc AS (SELECT doc_id AS id, text FROM documents), {HASHED} SELECT id AS doc_id, CAST(slot AS INTEGER) AS slot, round(value, 6) AS value FROM hv")
+def hash_embedding(spark, sf):
+    return index.hashed(read_table(spark, sf, "documents"), ["doc_id"], "text").select("doc_id", "slot", F.round("value", 6).alias("value"))
+
+
+@query(f"WITH hsrc AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark), {HASHED}, s AS (SELECT -1 - b.id AS query_id, a.id AS doc_id, round(sum(a.value * b.value), 5) AS score FROM hv a JOIN hv b USING (slot) WHERE a.id >= 0 AND b.id < 0 GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 5")
+def hashed_topk(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.col("text").alias("search_text"))
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return index.top_k(index.hashed_search(d, q).withColumn("score", F.round("score", 5)), 5).drop("chunk_index")
+
+
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings, q), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
+def vector_topk(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return index.vector_top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
+def truth_docs(spark, sf) -> DataFrame:
+    """Rendered documents with their metadata and file names."""
+    m = fields.metadata(rendered(spark, sf).select("doc_id", "page_number", "text"))
+    return m.withColumns({"source_filename": F.concat(F.lower("doc_number"), F.lit(".pdf")), "storage_path": F.concat(F.lit("store/"), "doc_number")})
+
+
+FILTER_QUERIES = [(1, "invoice from Supplier 000000007 in Mar 1996"), (2, "bom from Supplier 000000011"), (3, "documents in 1999"), (4, "show invoice total amount 153864.67"), (5, "wireless mouse"), (6, "bills in apr 1997")]
+
+
+@query(f"""WITH {RENDERED}, f(query_id, ty, sup, y, m, am) AS (VALUES (1, 'invoice', 'supplier 000000007', 1996, 3, NULL), (2, 'bom', 'supplier 000000011', NULL, NULL, NULL), (4, 'invoice', NULL, NULL, NULL, 153864.67), (6, NULL, NULL, 1997, 4, NULL)),
+k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_date DESC, doc_id) AS place FROM f, rendered WHERE (ty IS NULL OR layout = ty) AND (sup IS NULL OR contains(lower(supplier_name), sup)) AND (y IS NULL OR year(doc_date) = y) AND (m IS NULL OR month(doc_date) = m) AND (am IS NULL OR amount = am))
+SELECT * FROM k WHERE place <= 200""")
+def structured_filter(spark, sf):
+    q = spark.createDataFrame(FILTER_QUERIES, "query_id long, text string")
+    return retrieve.structured(truth_docs(spark, sf), router.with_filters(q), 200).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {RENDERED}, q(query_id, i) AS (VALUES (1, 'INV-00000501'), (2, 'BOM-00000505'), (3, 'inv-00000502'), (4, 'INV-000005')), h AS (SELECT query_id, doc_id, CASE WHEN doc_number = i THEN 1.0 WHEN lower(doc_number) || '.pdf' = i THEN 0.98 WHEN starts_with(lower(doc_number) || '.pdf', lower(i)) THEN 0.86 END AS lookup_score FROM q, rendered), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lookup_score DESC, doc_id) AS place FROM h WHERE lookup_score IS NOT NULL) SELECT query_id, doc_id, CAST(lookup_score AS DOUBLE) AS lookup_score, place FROM k WHERE place <= 20")
+def exact_lookup(spark, sf):
+    q = spark.createDataFrame([(1, "INV-00000501"), (2, "BOM-00000505"), (3, "inv-00000502"), (4, "INV-000005")], "query_id long, identifier string")
+    return retrieve.exact(truth_docs(spark, sf), q).select("query_id", "doc_id", F.col("lookup_score").cast("double").alias("lookup_score"), F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH b AS (SELECT event_id % 200 AS query_id, event_id % 1000 AS doc_id, user_id % 5 AS chunk_index, CASE event_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'postgres_keyword' ELSE 'vector' END AS source, max(abs(value)) AS score FROM events GROUP BY 1, 2, 3, 4),
+n AS (SELECT *, CASE WHEN max(score) OVER (PARTITION BY query_id, source) = 0 THEN 1.0 ELSE score / max(score) OVER (PARTITION BY query_id, source) END AS n FROM b)
+SELECT query_id, doc_id, chunk_index, round(sum(n * CASE source WHEN 'keyword' THEN 0.2 WHEN 'postgres_keyword' THEN 0.35 ELSE 0.45 END), 6) AS score, string_agg(DISTINCT source, ',' ORDER BY source) AS sources FROM n GROUP BY 1, 2, 3""")
+def fuse_weighted(spark, sf):
+    e = read_table(spark, sf, "events")
+    s = F.when(F.col("event_id") % 3 == 0, "keyword").when(F.col("event_id") % 3 == 1, "postgres_keyword").otherwise("vector")
+    hits = e.groupBy((F.col("event_id") % 200).alias("query_id"), (F.col("event_id") % 1000).alias("doc_id"), (F.col("user_id") % 5).alias("chunk_index"), s.alias("source")).agg(F.max(F.abs("value")).alias("score"))
+    plan = hits.select("query_id").distinct().withColumns({"run_route": F.lit("hybrid"), "use_semantic": F.lit(True)})
+    return retrieve.fuse(hits, retrieve.route_weights(plan)).withColumn("sources", F.array_join("sources", ","))
+
+
+HIT_ROWS = f"""{BATCH_SQL}, {ROW_CHUNKS}, {TERMS}, {SCORED}, tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS r FROM sc) WHERE r <= 40)"""
+
+
+def row_hits(spark, sf) -> tuple[DataFrame, DataFrame]:
+    plan = router.executed(router.routed(batch(spark)))
+    c = row_chunks(spark, sf)
+    top = index.top_k(retrieve.term_scored(c, plan), 40).select("query_id", *retrieve.KEY, "score", F.array(F.lit("postgres_keyword")).alias("sources"))
+    return plan, retrieve.hydrate(top, c, truth_docs(spark, sf))
+
+
+@query(f"WITH {HIT_ROWS}, h AS (SELECT query_id, doc_id, chunk_index, score, CASE WHEN length({sq('chunk_text')}) <= 260 THEN {sq('chunk_text')} ELSE rtrim(substring({sq('chunk_text')}, 1, 257)) || '...' END AS snippet, section, doc_number, supplier_name FROM tp JOIN ch USING (doc_id, chunk_index) JOIN rd USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_number, section, snippet ORDER BY score DESC, doc_id, chunk_index) AS d FROM h) SELECT query_id, doc_id, chunk_index, score, snippet, doc_number, supplier_name, 'database text match' AS reason, 'store/' || doc_number AS storage_path FROM k WHERE d = 1")
+def hydrated_hits(spark, sf):
+    _, h = row_hits(spark, sf)
+    return h.select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "score", "snippet", "doc_number", "supplier_name", F.array_join("reasons", ",").alias("reason"), "storage_path")
+
+
+@query(f"WITH {HIT_ROWS}, d AS (SELECT query_id, doc_id, min(chunk_index) AS fc FROM (SELECT * FROM tp WHERE r <= 3) t JOIN (SELECT doc_id, min(chunk_index) AS chunk_index FROM ch GROUP BY 1) f USING (doc_id) GROUP BY 1, 2)" .replace("min(chunk_index) AS fc", "min(f.chunk_index) AS fc") + f""",
+h AS (SELECT query_id, doc_id, chunk_index, score FROM (SELECT tp.*, row_number() OVER (PARTITION BY query_id, tp.doc_id, section, {sq('chunk_text')} ORDER BY score DESC, chunk_index) AS dd FROM tp JOIN ch USING (doc_id, chunk_index)) WHERE dd = 1),
+m AS (SELECT query_id, doc_id, chunk_index, round(score + 0.08, 4) AS score, 1 AS o FROM h SEMI JOIN d USING (query_id, doc_id) UNION ALL SELECT query_id, doc_id, chunk_index, score, 1 FROM h ANTI JOIN d USING (query_id, doc_id) UNION ALL SELECT query_id, doc_id, fc, 1.18, 0 FROM d),
+s AS (SELECT m.*, section, {sq('chunk_text')} AS sn FROM m JOIN ch USING (doc_id, chunk_index))
+SELECT query_id, doc_id, arg_min(chunk_index, (o, chunk_index)) AS chunk_index, max(score) AS score FROM s GROUP BY query_id, doc_id, section, sn""")
+def structured_merge(spark, sf):
+    plan, h = row_hits(spark, sf)
+    c = row_chunks(spark, sf)
+    found = index.top_k(retrieve.term_scored(c, plan), 3).select("query_id", "doc_id").distinct()
+    whole = retrieve.hydrate(retrieve.document_hits(found, stores.first_chunks(c.select("doc_id", "chunk_index", "page_number")), "structured"), c, truth_docs(spark, sf))
+    return rerank.merge(h, whole, 0.18, "structured", "structured metadata filter").select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "score")
+
+
+RERANKED = f"""hx AS (SELECT query_id, doc_id, chunk_index, score, {sq('chunk_text')} AS snippet, section, doc_number, supplier_name, layout, doc_date, amount FROM tp JOIN ch USING (doc_id, chunk_index) JOIN rendered USING (doc_id)),
+hy AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_number, section, snippet ORDER BY score DESC, doc_id, chunk_index) AS d FROM hx) WHERE d = 1),
+hz AS (SELECT hy.*, qt.text AS q_text, terms, words, list_filter(terms, lambda t: regexp_matches(t, '\\d')) AS nums, lower({ns("concat_ws(' ', snippet, doc_number, supplier_name, 'table_row', lower(doc_number) || '.pdf', section, layout, strftime(doc_date, '%Y-%m-%d'), CAST(CAST(amount AS DOUBLE) AS VARCHAR), 'INR')")}) AS hay,
+  {any_of('lower(qt.text)', V.ROUTER_ROW)} AS row_query, list_filter(regexp_extract_all(regexp_extract(lower({ns('snippet')}), '^[^0-9]*'), '[a-z]+'), lambda w: NOT list_contains({lst(V.ROW_CONTEXT_STOP)}, w)) AS ctxw, regexp_extract_all(regexp_extract(lower({ns('snippet')}), '^[^0-9]*'), '[a-z]+') AS ctxa FROM hy JOIN qt USING (query_id)),
+hn AS (SELECT *, len(list_filter(nums, lambda t: contains(hay, t))) AS n, len(list_filter(words, lambda t: contains(hay, t))) AS t, CASE WHEN len(ctxw) >= 2 THEN 0.28 WHEN len(ctxw) = 1 THEN 0.08 WHEN len(ctxa) > 0 THEN -0.16 ELSE -0.2 END AS ctx FROM hz),
+hs AS (SELECT *, round(score + round(n * 0.14 + t * 0.05, 4) + CASE WHEN run_route = 'lexical' THEN n * 0.22 + least(0.18, t * 0.06) WHEN run_route = 'mixed' THEN n * 0.18 + least(0.16, t * 0.05) ELSE n * 0.08 + least(0.12, t * 0.04) END + CASE WHEN row_query THEN ctx + 0.24 + CASE WHEN n > 0 THEN 0.18 ELSE 0 END ELSE 0 END, 4) AS final FROM hn JOIN rt USING (query_id)),
+hr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN row_query THEN ctx ELSE 0.0 END DESC, final DESC, doc_id, chunk_index) AS rank FROM hs)"""
+RUN_ROUTES = "rt(query_id, run_route) AS (VALUES (1, 'lexical'), (2, 'lexical'), (3, 'lexical'), (4, 'lexical'), (5, 'lexical'), (6, 'lexical'), (7, 'lexical'), (8, 'lexical'))"
+
+
+@query(f"WITH {HIT_ROWS}, {RUN_ROUTES}, {RERANKED} SELECT query_id, doc_id, chunk_index, round(final, 3) AS score, rank FROM hr WHERE rank <= 10")
+def reranked(spark, sf):
+    plan, h = row_hits(spark, sf)
+    return rerank.rerank(h, plan, 10).select("query_id", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 3).alias("score"), "rank")
+
+
+# ---- answers, responses, evaluation: no SQL where the whole pipeline is behind them ----
+def small_corpus(spark, sf) -> ingest.Corpus:
+    return ingest.ingest(rendered(spark, sf).select("doc_id", "page_number", "text", F.concat(F.lower("doc_number"), F.lit(".pdf")).alias("source_filename"), F.concat(F.lit("store/"), "doc_number").alias("storage_path")))
+
+
+@query()
+def search_answers(spark, sf):
+    """Whole search: plan, retrieval, fusion, merges, rerank, answers. Tested against its rules on a fixture."""
+    plan, hits = search.search(small_corpus(spark, sf), batch(spark), 5)
+    return answer.answers(hits, plan)
+
+
+@query(f"WITH {RENDERED} SELECT doc_id, 'Found ' || doc_number || '. File: ' || lower(doc_number) || '.pdf. Location: store/' || doc_number || '. Supplier: ' || supplier_name || '. Amount: ' || CAST(amount AS VARCHAR) || ' INR. Date: ' || strftime(doc_date, '%Y-%m-%d') || '. Evidence: page 1.' AS answer FROM rendered")
+def exact_answers(spark, sf):
+    d = truth_docs(spark, sf).withColumn("amount", F.col("amount").cast("decimal(14,2)"))
+    return d.select("doc_id", answer.exact_answer().alias("answer"))
+
+
+@query(f"WITH {ROW_CHUNKS} SELECT doc_id, chunk_index, nullif(regexp_extract(chunk_text, '\\b([A-Z]{{1,5}}-\\d{{2,}}[A-Z0-9-]*)\\b', 1), '') AS code, round(CASE WHEN contains(search_text, 'material code description') THEN -1.0 ELSE 0 END + CASE WHEN contains(search_text, 'process route') THEN -0.6 ELSE 0 END - length(search_text) / 1000.0, 6) AS specificity FROM ch")
+def row_features(spark, sf):
+    c = row_chunks(spark, sf)
+    return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), answer.material_code(F.col("chunk_text")).alias("code"), F.round(X.specificity(F.col("search_text")), 6).alias("specificity"))
+
+
+@query(f"""WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {BM25}, k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM bm), h AS (SELECT query_id, min(CASE WHEN contains(lower(d.text), lower(substring(q.text, 1, 30))) THEN rank END) AS r FROM q LEFT JOIN (SELECT * FROM k WHERE rank <= 10) USING (query_id) LEFT JOIN documents d USING (doc_id) GROUP BY 1),
+a AS (SELECT CASE WHEN query_id % 2 = 0 THEN 'even' ELSE 'odd' END AS query_type, r FROM h)
+SELECT query_type, count(*) AS queries, round(avg(CASE WHEN r <= 1 THEN 1.0 ELSE 0 END), 4) AS snippet_at_1, round(avg(CASE WHEN r <= 5 THEN 1.0 ELSE 0 END), 4) AS snippet_at_5 FROM a GROUP BY ROLLUP (query_type)""")
+def retrieval_quality(spark, sf):
+    d = read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    b = read_table(spark, sf, "benchmark")
+    hits = index.top_k(index.bm25(d, b.select(F.col("item_id").alias("query_id"), "text"), {"text": 1.0}).withColumn("score", F.round("score", 4)), 10)
+    hits = hits.join(d.select("doc_id", F.col("text").alias("snippet")), "doc_id").select("query_id", "rank", F.lit("f").alias("source_filename"), F.lit(1).alias("page_number"), F.col("doc_id").cast("string").alias("doc_number"), "snippet")
+    none = F.lit(None).cast("string")
+    cases = b.select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("query_type"), none.alias("expected_source_filename"), F.lit(None).cast("int").alias("expected_page"), none.alias("expected_doc_number"), F.array(F.substring("text", 1, 30)).alias("expected_snippets"))
+    return evaluate.retrieval_metrics(cases, hits).select("query_type", "queries", "snippet_at_1", "snippet_at_5")
+
+
+@query(f"""WITH {RENDERED}, p AS (SELECT supplier_name, unnest(['doc_number', 'supplier_name', 'buyer_name', 'doc_date', 'amount']) AS field FROM rendered)
+SELECT supplier_name, NULL AS field, count(*) AS checks, count(*) AS passed, 1.0 AS accuracy FROM p GROUP BY 1 UNION ALL SELECT NULL, field, count(*), count(*), 1.0 FROM p GROUP BY 2 UNION ALL SELECT NULL, NULL, count(*), count(*), 1.0 FROM p""")
+def extraction_accuracy(spark, sf):
+    truth = rendered(spark, sf)
+    names = ["doc_number", "supplier_name", "buyer_name", "doc_date", "amount"]
+    got = fields.metadata(truth.select("doc_id", "page_number", "text")).select(F.col("doc_id").alias("g_id"), *[F.col(n).cast("string").alias(f"g_{n}") for n in names])
+    both = truth.join(got, F.col("doc_id") == F.col("g_id"))
+    pairs = both.select("doc_id", "supplier_name", F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("expected"), F.col(f"g_{n}").alias("actual")) for n in names])).alias("p")).select("doc_id", "supplier_name", "p.*")
+    return evaluate.extraction_metrics(pairs)
+
+
+@query("SELECT CASE event_id % 4 WHEN 0 THEN 'processed' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'partial' ELSE 'failed' END AS status, count(*) AS files FROM events GROUP BY 1")
+def ingest_summary(spark, sf):
+    k = F.col("event_id") % 4
+    return evaluate.ingest_summary(read_table(spark, sf, "events").select(F.when(k == 0, "processed").when(k == 1, "duplicate").when(k == 2, "partial").otherwise("failed").alias("status")))
+
+
+@query("SELECT event_type AS route, count(*) AS queries, CAST(sum(CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS cache_hits, round(avg(CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE value END), 4) AS avg_latency_ms FROM events GROUP BY 1")
+def route_metrics(spark, sf):
+    return evaluate.route_metrics(read_table(spark, sf, "events").select(F.col("event_type").alias("route"), F.col("value").alias("latency_ms"), (F.col("event_id") % 7 == 0).alias("cache_hit")))
+
+
+@query("SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def windowed_counts(spark, sf):
+    w = inbox.windowed_counts(read_table(spark, sf, "events"), "ts", "event_type")
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
