@@ -4,7 +4,7 @@ Suffixes are sorted only to the threshold (WIDTH bytes), by passes of most signi
 leaves the sort as soon as it is alone in its group; the groups left after the last digit are exactly
 the repeated windows. What is distributed is the first pass: every window goes to the bucket of its
 minimiser, the smallest hash among its own SEED-byte strings, so equal windows meet. Neighbouring windows
-with one minimiser travel as one string of at most WIDTH + 34 bytes, in compressed blobs of a bucket.
+with one minimiser travel as one string of at most WIDTH + SPAN - 1 bytes, in compressed blobs of a bucket.
 
 A string found again inside a map batch is sent once, with the smallest id; the copies' answer is known there and
 only their place is sent on. So a passage that a third of all documents share costs one string per batch.
@@ -28,23 +28,27 @@ from pyspark.sql import functions as F
 from .common import input_bytes, mix64, string_bytes
 from .shingles import batches
 
-WIDTH, SEED = 50, 16
+WIDTH, SEED = 50, 12
 SPAN = WIDTH - SEED + 1  # seeds in a window, and the most windows that one string carries
 ROW = -(-(WIDTH + SPAN - 1) // 8) * 8
-BATCH, CHUNK, PER_BUCKET = 12 << 20, 1 << 20, 5 << 19
+BATCH, CHUNK, PER_BUCKET = 8 << 20, 1 << 20, 5 << 19
 _K = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.iinfo(np.int64).min  # stands for a null id
 
 
 def _seeds(data: np.ndarray) -> np.ndarray:
-    """Hash of the SEED bytes at every position, by doubling."""
+    """Hash of the SEED bytes at every position: hashes of 1, 2, 4, 8 bytes by doubling, then put together."""
     h = (data.astype(np.uint64) + np.uint64(1)) * _K
     h ^= h >> np.uint64(29)
-    step, mult = 1, 0x9E3779B97F4A7C15
-    while step < SEED:
+    step, mult, done, out = 1, 0x9E3779B97F4A7C15, 0, None
+    while done < SEED:
+        if SEED & step:
+            part = h[done:]
+            out = part if out is None else out[: len(part)] * np.uint64(mult) + part
+            done += step
         h = h[:-step] * np.uint64(mult) + h[step:]
         step, mult = step * 2, mult * mult % (1 << 64)
-    return mix64(h)
+    return mix64(out[: len(data) - SEED + 1].copy())
 
 
 def strings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -126,7 +130,7 @@ def radix_groups(first: np.ndarray, digits) -> np.ndarray:
 
 def _blob(*parts: np.ndarray) -> bytes:
     head = np.array([len(parts), *[p.nbytes for p in parts]], np.int64).tobytes()
-    return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 3)
+    return zstandard.compress(head + b"".join(p.tobytes() for p in parts), 5)
 
 
 def _parts(blob: bytes, kinds) -> list[np.ndarray]:
@@ -175,7 +179,8 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
                 low = np.full(int(g.max()) + 1, np.iinfo(np.int64).max)
                 np.minimum.at(low, g[tied], doc[i[tied]])
                 copy[i[tied]] = doc[i[tied]] > low[g[tied]]
-        bucket = ((mini >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        # minima are small: mixed again, else the first buckets get most
+        bucket = ((mix64(mini ^ _K) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         o = np.argsort(bucket, kind="stable")  # in a bucket: text order, so places are small steps
         cut = np.searchsorted(bucket[o], np.arange(buckets + 1))
         keys, blobs = [], []
@@ -216,8 +221,9 @@ def repeated(doc: np.ndarray, num: np.ndarray, place: np.ndarray, data: np.ndarr
         return flags
     padded = np.concatenate([data, np.zeros(ROW, np.uint8)])
     view8 = np.lib.stride_tricks.sliding_window_view(padded, 8)
-    seed = lambda i, k: view8[base[i] + place[i] + 8 * k].copy().view(">u8").ravel().astype(np.uint64)
-    g = radix_groups(np.zeros(len(doc), np.int64), lambda i, d: seed(i, d) if d < SEED // 8 else None)
+    at = [*range(0, SEED - 7, 8), *([SEED - 8] if SEED % 8 else [])]  # the last digit may overlap the one before
+    seed = lambda i, k: view8[base[i] + place[i] + k].copy().view(">u8").ravel().astype(np.uint64)
+    g = radix_groups(np.zeros(len(doc), np.int64), lambda i, d: seed(i, at[d]) if d < len(at) else None)
     live = np.flatnonzero(g >= 0)
     if not len(live):
         return flags
