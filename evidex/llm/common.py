@@ -37,8 +37,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of what df reads (file sizes for a scan); no job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of what df reads (file sizes for a scan). Where it has none, the bytes of the strings are summed."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 55:
+        return size
+    texts = [F.coalesce(F.octet_length(F.col(f"`{n}`")), F.lit(0)) for n, t in df.dtypes if t in ("string", "binary")]
+    got = df.agg(F.count("*").alias("n"), F.sum(sum(texts, F.lit(0))).alias("b")).first()
+    return int(got["b"] or 0) + 8 * len(df.columns) * int(got["n"])
 
 
 def shuffle_parts(df: DataFrame, per_part: int = 16 << 20, least: int = 1) -> int:
