@@ -498,7 +498,7 @@ def small_corpus(spark, sf) -> ingest.Corpus:
 @query()
 def search_answers(spark, sf):
     """Whole search: plan, retrieval, fusion, merges, rerank, answers. Tested against its rules on a fixture."""
-    plan, hits = search.search(small_corpus(spark, sf), batch(spark), 5)
+    plan, hits = search.search(small_corpus(spark, sf).settled(), batch(spark), 5)
     return answer.answers(hits, plan)
 
 
