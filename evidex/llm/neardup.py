@@ -7,8 +7,9 @@
    posterior probability (uniform prior) of similarity >= 75/100 falls below MISS. Of what survives,
    a bucket gives a spanning forest only. Buckets over BLOCK members are cut into a grid of blocks.
 4. Forest edges are verified exactly on the full sets, recomputed from the whole texts.
-5. Where an edge fails, the forest says nothing about the rest of its bucket; there all surviving pairs
-   between different components are verified too. So no link that survived step 3 is lost.
+5. Where an edge fails, the forest says nothing about the rest of its bucket. Such a bucket gets its texts,
+   and all surviving pairs between different components are verified inside its cells, which again return
+   a forest. So no link that survived step 3 is lost, and no step lists the pairs of a group.
 
 Edge cases: null and empty texts and texts without words have 0 shingles and link with nothing; fewer than
 5 words are one shingle; equal sets always link; a repeated row shares its id's component; rows with a null
@@ -30,7 +31,7 @@ from . import shingles
 from .common import checkpoint, mix64, string_bytes
 from .graph import connected_components
 
-BANDS, ROWS, SAME, OF, MISS, BLOCK = 20, 4, 75, 100, 1e-4, 2048
+BANDS, ROWS, SAME, OF, MISS, BLOCK, EXACT_BLOCK = 20, 4, 75, 100, 1e-4, 2048, 512
 BATCH = 20  # signature bytes compared before each look at the posterior
 _MULT = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -115,27 +116,62 @@ def forest(test: Survivors, side: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def all_pairs(test: Survivors, side: np.ndarray, label: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """All surviving pairs of different labels."""
-    out = []
+class Overlaps:
+    """Sizes of the sets of a cell and of their intersections, from an inverted table of the cell's shingles."""
+
+    def __init__(self, texts: list[bytes]):
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        h, self.at = shingles.sets(np.frombuffer(b"".join(texts), np.uint8), offs)
+        self.size = np.diff(self.at)
+        self.ids = np.unique(h, return_inverse=True)[1]
+        self.owner = np.repeat(np.arange(len(texts)), self.size)[np.argsort(self.ids, kind="stable")]
+        self.count = np.bincount(self.ids)
+        self.first = np.cumsum(self.count) - self.count
+
+    def linked(self, x: int, rest: np.ndarray) -> np.ndarray:
+        """Those of rest whose full sets are similar enough to x's."""
+        ids = self.ids[self.at[x] : self.at[x + 1]]
+        n = self.count[ids]
+        at = np.repeat(self.first[ids] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        same = np.bincount(self.owner[at], minlength=len(self.size))[rest]
+        return rest[(OF * same >= SAME * (self.size[x] + self.size[rest] - same)) & (same > 0)]
+
+
+def verified_forest(test: Survivors, side: np.ndarray, label: np.ndarray, sets: Overlaps) -> list[tuple[int, int]]:
+    """Exactly verified links that join rows of different labels, one for each join."""
+    out, label = [], np.unique(label, return_inverse=True)[1]
     for x in range(len(side) - 1):
         rest = np.arange(x + 1, len(side))
         rest = rest[(label[rest] != label[x]) & ((side[x] < 0) | (side[rest] != side[x]))]
-        if len(rest) and len(hit := test.of(x, rest)):
-            out.append((x, hit))
+        if not len(rest) or not len(rest := test.of(x, rest)):
+            continue
+        for y in sets.linked(x, rest).tolist():
+            if label[y] != label[x]:
+                out.append((x, y))
+                label[label == label[y]] = label[x]
     return out
 
 
-def _compare(members: DataFrame, everything: bool, miss: float) -> DataFrame:
-    """key, a, b of the pairs to verify; members: key, bi, bj, blk, rep, n, sig, label; a cell is (key, bi, bj)."""
+def _compare(members: DataFrame, miss: float, exact: bool = False) -> DataFrame:
+    """key, a, b of a spanning forest of each cell (key, bi, bj) of members (key, bi, bj, blk, rep, n, sig): of the surviving pairs, to be verified.
+
+    exact: members have label and z (compressed text), too; surviving pairs of different labels are verified here, and links that join them are returned.
+    """
     steps = least_matches(miss)
 
-    def cell(key, bi, bj, blk, rep, n, sig, label, out):
+    def cell(key, bi, bj, blk, rep, n, sig, label, z, out):
         o = np.argsort(rep, kind="stable")
-        blk, rep, n, sig, label = blk[o], rep[o], n[o], sig[o], label[o]
+        blk, rep, n, sig = blk[o], rep[o], n[o], sig[o]
         side = blk if bi != bj else np.full(len(rep), -1)
         test = Survivors(n, sig, steps)
-        for x, hit in all_pairs(test, side, label) if everything else forest(test, side):
+        if exact:
+            if (label == label[0]).all():
+                return
+            d = zstandard.ZstdDecompressor()
+            found = [(x, np.array([y])) for x, y in verified_forest(test, side, label[o], Overlaps([d.decompress(z[i]) for i in o]))]
+        else:
+            found = forest(test, side)
+        for x, hit in found:
             a = np.full(len(hit), rep[x])
             out[0].append(np.full(len(hit), key))
             out[1].append(np.minimum(a, rep[hit]))
@@ -155,24 +191,25 @@ def _compare(members: DataFrame, everything: bool, miss: float) -> DataFrame:
             yield work(held)
 
     def work(t):
-        key, bi, bj, blk, rep, n, label = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "blk", "rep", "n", "label"))
+        key, bi, bj, blk, rep, n = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "blk", "rep", "n"))
+        label, z = (t.column("label").to_numpy(), t.column("z").to_pylist()) if exact else (rep, [])
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(rep), BANDS * ROWS)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
         out = [[], [], []]
-        for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
-            if z - a > 1:
-                cell(key[a], bi[a], bj[a], blk[a:z], rep[a:z], n[a:z], sig[a:z], label[a:z], out)
+        for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
+            if e - a > 1:
+                cell(key[a], bi[a], bj[a], blk[a:e], rep[a:e], n[a:e], sig[a:e], label[a:e], z[a:e], out)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["key", "a", "b"])
 
     return members.sortWithinPartitions("key", "bi", "bj").mapInArrow(run, "key long, a long, b long")
 
 
-def _members(reps: DataFrame) -> DataFrame:
-    """Rows of the band buckets with two or more members, dealt by cell."""
+def _members(reps: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Rows of the band buckets with two or more members, by cell: a bucket of more than `block` members is a grid of blocks."""
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     rows = keys.join(shared, "key").join(reps.select("rep", "n", "sig"), "rep")
-    rows = rows.withColumn("nb", F.ceil(F.col("cnt") / BLOCK).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rows = rows.withColumn("nb", F.ceil(F.col("cnt") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "sig")
 
@@ -223,20 +260,20 @@ def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text)."""
     sigs = checkpoint(signatures(docs))
     reps = checkpoint(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    members = _members(reps)
-    pairs = checkpoint(_compare(_dealt(members).withColumn("label", F.col("rep")), False, miss))
+    pairs = checkpoint(_compare(_dealt(_members(reps)), miss))
     checked = checkpoint(verify(pairs.select("a", "b").where("a <> b").distinct(), docs))
     links = checked.where("ok").select("a", "b")
     parts = connected_components(links)
     failed = checked.where("NOT ok").select("a", "b")
     if not failed.isEmpty():
         bad = pairs.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-        again = members.join(bad, "key", "left_semi").join(parts, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-        more = _compare(_dealt(again), True, miss).select("a", "b").where("a <> b").distinct().join(checked, ["a", "b"], "left_anti")
-        more = checkpoint(more)
-        if not more.isEmpty():
-            late = checkpoint(verify(more, docs)).where("ok").select("a", "b")
-            parts = connected_components(links.unionByName(late))
+        again = _members(reps, EXACT_BLOCK).join(bad, "key", "left_semi").join(parts, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
+        mixed = again.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        again = checkpoint(again.join(mixed, "key", "left_semi"))
+        ids = again.select(F.col("rep").alias("id")).distinct()
+        texts = packed_texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+        late = checkpoint(_compare(_dealt(again.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")), miss, exact=True)).select("a", "b")
+        parts = connected_components(links.unionByName(late))
     of = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "f1", "f2").join(of, (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")
     comp = F.coalesce("comp", "doc_id")
