@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, checkpoint
 
 P = "_mix_"  # prefix of working columns
+MOST_BROADCAST = 50_000  # sources whose row of about 100 bytes each may be broadcast; beyond, both sides are shuffled
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
@@ -44,8 +45,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     A source with target t and size s takes each document floor(t / s) times. The rest is one more
     repetition of documents in a seeded random order (md5 of id and seed) until floor(t + 1/2) words are
     reached; the document at that border gives its first words only, so every source meets its target to
-    half a word. The running sum is by source and first three hex digits of the hash, over sums of those
-    4,096 groups: a source with a third of all rows is dealt to 4,096 groups, and no group is collected.
+    half a word. Sizes are summed by source and first three hex digits of the hash; those 4,096 sums say in
+    which group of each source the border lies. Groups before it are taken whole, groups after it not at
+    all, so only the border group of each source (about a 4,096th of it) is ordered; no text is shuffled but its.
     """
     row = docs.withColumns({
         f"{P}size": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"),
@@ -53,19 +55,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
         f"{P}source": F.col("source"),
     })
     row = row.withColumn(f"{P}b", F.substring(f"{P}h", 1, 3))
-    parts = row.groupBy(f"{P}source", f"{P}b").agg(F.sum(f"{P}size").alias(f"{P}bs"))
+    parts = checkpoint(row.groupBy(f"{P}source", f"{P}b").agg(F.sum(f"{P}size").alias(f"{P}bs")))
     before = Window.partitionBy(f"{P}source").orderBy(f"{P}b").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn(f"{P}before", F.coalesce(F.sum(f"{P}bs").over(before), F.lit(0)))
     targets = source_targets(parts.groupBy(f"{P}source").agg(F.sum(f"{P}bs").alias(f"{P}source_size")), weights, max_epochs)
-    stats = parts.alias("p").join(targets.alias("s"), F.expr(f"p.{P}source <=> s.{P}source")).select(F.col(f"p.{P}source").alias(f"{P}src"), F.col(f"p.{P}b").alias(f"{P}bb"), f"{P}before", f"{P}source_size", f"{P}target")
-    out = row.join(stats, F.expr(f"{P}source <=> {P}src AND {P}b = {P}bb"))
-    upto = Window.partitionBy(f"{P}source", f"{P}b").orderBy(f"{P}h", "doc_id", f"{P}size").rowsBetween(Window.unboundedPreceding, 0)
     s = F.col(f"{P}source_size")
     times = F.when(s > 0, F.floor(F.col(f"{P}target") / s)).otherwise(F.lit(0)).cast("long")
-    rest = F.floor(F.col(f"{P}target") + 0.5).cast("long") - times * s
-    prior = F.col(f"{P}before") + F.sum(f"{P}size").over(upto) - F.col(f"{P}size")
-    extra = F.greatest(F.lit(0), F.least(F.col(f"{P}size"), rest - prior))
-    return out.withColumn(f"{P}taken", times * F.col(f"{P}size") + extra).drop(f"{P}src", f"{P}bb", f"{P}before", f"{P}b", f"{P}h", f"{P}source")
+    targets = targets.withColumn(f"{P}times", times).withColumn(f"{P}rest", F.floor(F.col(f"{P}target") + 0.5).cast("long") - times * s)
+    sums = parts.withColumn(f"{P}before", F.coalesce(F.sum(f"{P}bs").over(before), F.lit(0)))
+    at = sums.alias("p").join(targets.alias("s"), F.expr(f"p.{P}source <=> s.{P}source")).select(F.col(f"s.{P}source").alias(f"{P}src"), f"{P}source_size", f"{P}target", f"{P}times", f"{P}rest", f"{P}b", f"{P}before", f"{P}bs")
+    in_it = (F.col(f"{P}before") < F.col(f"{P}rest")) & (F.col(f"{P}before") + F.col(f"{P}bs") >= F.col(f"{P}rest"))
+    edges = checkpoint(at.groupBy(f"{P}src", f"{P}source_size", f"{P}target", f"{P}times", f"{P}rest").agg(F.coalesce(F.min(F.when(in_it, F.col(f"{P}b"))), F.lit("")).alias(f"{P}edge"), F.coalesce(F.min(F.when(in_it, F.col(f"{P}before"))), F.lit(0)).alias(f"{P}edge_before")))
+    side = F.broadcast(edges) if edges.count() <= MOST_BROADCAST else edges  # one row per source
+    out = row.join(side, F.expr(f"{P}source <=> {P}src"))
+    size = F.col(f"{P}size")
+    plain = out.where(F.col(f"{P}b") != F.col(f"{P}edge")).withColumn(f"{P}extra", F.when(F.col(f"{P}b") < F.col(f"{P}edge"), size).otherwise(F.lit(0)))
+    upto = Window.partitionBy(f"{P}source").orderBy(f"{P}h", "doc_id", f"{P}size").rowsBetween(Window.unboundedPreceding, 0)
+    prior = F.col(f"{P}edge_before") + F.sum(f"{P}size").over(upto) - size
+    border = out.where(F.col(f"{P}b") == F.col(f"{P}edge")).withColumn(f"{P}extra", F.greatest(F.lit(0), F.least(size, F.col(f"{P}rest") - prior)))
+    both = plain.unionByName(border).withColumn(f"{P}taken", F.col(f"{P}times") * size + F.col(f"{P}extra"))
+    return both.drop(*[f"{P}{c}" for c in ("src", "times", "rest", "edge", "edge_before", "extra", "b", "h", "source")])
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
