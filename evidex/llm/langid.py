@@ -21,7 +21,7 @@ from pyspark.sql import Window
 from .common import crc32_of, string_bytes
 
 HIDDEN, SEGMENT = 8, 64
-PER_LANG, MAX_LANGS, SPAN = 300, 64, 384
+PER_LANG, MAX_LANGS, SPAN, GROUPS = 300, 64, 384, 16
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -194,12 +194,13 @@ def segments(data: np.ndarray, offs: np.ndarray, length: int = SEGMENT):
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG, span: int = SPAN) -> Network | None:
-    """Fit on a bounded sample of (doc_id, text, lang): per_lang documents of each of at most MAX_LANGS languages, span characters from a hashed place of each."""
+    """Fit on a bounded sample of (doc_id, text, lang): per_lang documents (the smallest hashes in each of GROUPS hash groups, so a
+    frequent language isn't one group) of each of at most MAX_LANGS languages, span characters from a hashed place of each."""
     h = F.xxhash64(F.lit(11), "doc_id", "text")
     at = F.lit(1) + F.pmod(h, F.greatest(F.length("text") - span, F.lit(1))).cast("int")
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").where(F.col("text").rlike(r"\p{L}")).select("lang", h.alias("h"), F.substring("text", at, F.lit(span)).alias("t"))
-    w = Window.partitionBy("lang").orderBy("h", "t")
-    got = rows.withColumn("k", F.row_number().over(w)).where(F.col("k") <= per_lang).orderBy("k", "lang").limit(per_lang * MAX_LANGS).select("lang", "t").toPandas()
+    w = Window.partitionBy("lang", "g").orderBy("h", "t")
+    got = rows.withColumn("g", F.pmod("h", F.lit(GROUPS))).withColumn("k", F.row_number().over(w)).where(F.col("k") <= -(-per_lang // GROUPS)).orderBy("k", "g", "lang").limit((per_lang + GROUPS) * MAX_LANGS).select("lang", "t").toPandas()
     if not len(got):
         return None
     langs = sorted(set(got["lang"]))
