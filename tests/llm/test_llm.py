@@ -174,6 +174,27 @@ def test_compact(docs, empty):
     assert compact.near_passages(empty).count() == 0
 
 
+def common_phrase_pairs(pairs=40):
+    """Texts that all hold one phrase of 30 words; document i and i + pairs also share the 30 words around it. Ids of a pair are far apart."""
+    rng = random.Random(6)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, left, right = fresh(30), [], []
+    for i in range(pairs):
+        k = i % 31
+        passage = fresh(k) + phrase + fresh(30 - k)
+        left.append((i, " ".join(fresh(20) + passage + fresh(20))))
+        right.append((2 * pairs + i, " ".join(fresh(20) + passage + fresh(20))))
+    others = [(pairs + i, " ".join(fresh(40) + phrase + fresh(40))) for i in range(pairs)]
+    return left + others + right
+
+
+def test_compact_passage_with_a_common_phrase(spark):
+    pairs = 40
+    got = compact.near_passages(spark.createDataFrame(common_phrase_pairs(pairs), "doc_id long, text string")).collect()
+    want = {(i, i + 2 * pairs) for i in range(pairs)}
+    assert {(r.doc_id, r.match_id) for r in got} == want | {(b, a) for a, b in want}
+
+
 def test_compact_nodes_are_the_tree():
     rng = np.random.default_rng(5)
     s, n = rng.integers(1, 1 << 60, 900, dtype=np.uint64), np.array([0, 500, 30, 370])
