@@ -195,6 +195,29 @@ def test_compact_passage_with_a_common_phrase(spark):
     assert {(r.doc_id, r.match_id) for r in got} == want | {(b, a) for a, b in want}
 
 
+def near_copies(pairs=400):
+    """Pairs of texts that share nothing but a passage of 50 words, changed inside, and the pairs whose passages have a similarity of at least 0.75."""
+    rng = random.Random(7)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], []
+    for i in range(pairs):
+        x, at = fresh(50), rng.randint(10, 38)
+        y = x[:at] + (fresh(1) + x[at + 1 :], fresh(2) + x[at + 2 :], fresh(1) + x[at:], x[at + 1 :])[i % 4]
+        a, b = ({tuple(v[k : k + 5]) for k in range(len(v) - 4)} for v in (x, y))
+        if len(a & b) / len(a | b) >= 0.75:
+            want.append((i, i + pairs))
+        rows += [(i, " ".join(fresh(40) + x + fresh(40))), (i + pairs, " ".join(fresh(40) + y + fresh(40)))]
+    return rows, want
+
+
+def test_compact_near_copies(spark):
+    rows, want = near_copies()
+    got = {(r.doc_id, r.match_id) for r in compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = [w for w in want if w not in got]
+    assert len(want) == 400 and len(missed) <= 1, missed
+    assert got <= set(want) | {(b, a) for a, b in want}
+
+
 def test_compact_nodes_are_the_tree():
     rng = np.random.default_rng(5)
     s, n = rng.integers(1, 1 << 60, 900, dtype=np.uint64), np.array([0, 500, 30, 370])
