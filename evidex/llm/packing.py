@@ -48,6 +48,15 @@ class _Ids(dict):
         return ids
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    with open(path, encoding="utf-8") as f:
+        added = json.load(f).get("added_tokens", [])
+    odd = [x["content"] for x in added if any(x.get(k) for k in ("single_word", "lstrip", "rstrip"))]
+    if odd:
+        raise ValueError(f"added tokens with single_word, lstrip or rstrip are not supported: {odd}")
+    return {x["content"]: x["id"] for x in added}
+
+
 def byte_level_encoder(path: str):
     """A tiktoken encoder with the vocabulary of a byte-level BPE tokenizer.json: the same ids as the tokenizers library gives (tested), several times faster."""
     import public_tokenizers
@@ -63,24 +72,34 @@ def byte_level_encoder(path: str):
     return tiktoken.Encoding("byte_level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def tokenizer(path: str | None = None):
-    """text -> bytes of its ids and the closing id; one per process. Chunks between pre-token borders are cached."""
+def tokenizer(path: str | None = None, encode_special_tokens: bool = False):
+    """text -> bytes of its ids and the closing id; one per process. Chunks between pre-token borders are cached.
+
+    Strings of added tokens in a text are those tokens' ids, as in the tokenizers library; encode_special_tokens takes them for ordinary text.
+    """
     import public_tokenizers
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _tokenizers:
+    if (path, encode_special_tokens) not in _tokenizers:
         encoder = byte_level_encoder(path)
         first, later, closing = _Ids(encoder, ""), _Ids(encoder, " "), array("I", [CLOSING]).tobytes()
+        added = {} if encode_special_tokens else {k: array("I", [v]).tobytes() for k, v in added_tokens(path).items()}
+        # the longest of those that start at one place
+        border = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+        def ordinary(text: str) -> list[bytes]:
+            parts = SPLIT.split(text)
+            return [first[parts[0]] if parts[0] else b"", *[later[p] for p in parts[1:]]]
 
         def encode(text: str | None) -> bytes:
             if not text:
                 return closing
-            parts = SPLIT.split(text)
-            head = first[parts[0]] if parts[0] else b""
-            return b"".join([head, *[later[p] for p in parts[1:]], closing])
+            if not any(k in text for k in added):
+                return b"".join([*ordinary(text), closing])
+            return b"".join([x for i, p in enumerate(border.split(text)) if p for x in ([added[p]] if i % 2 else ordinary(p))] + [closing])
 
-        _tokenizers[path] = encode
-    return _tokenizers[path]
+        _tokenizers[path, encode_special_tokens] = encode
+    return _tokenizers[path, encode_special_tokens]
 
 
 class Packer:
@@ -168,15 +187,16 @@ class _Rows:
         return batch
 
 
-def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int = FAN_IN, tokenizer_path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int = FAN_IN, tokenizer_path: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     One pass over the documents without a shuffle; only ids of windows left open (at most `opened` a
-    partition) go to the merge, which takes `fan_in` partitions at a time until one group is left.
+    partition) go to the merge, which takes `fan_in` partitions at a time until one group is left. The query and the
+    pipeline pass encode_special_tokens=False, so that strings of added tokens get their ids.
     """
 
     def first(batches):
-        encode, rows, part = tokenizer(tokenizer_path), _Rows(), TaskContext.get().partitionId()
+        encode, rows, part = tokenizer(tokenizer_path, encode_special_tokens), _Rows(), TaskContext.get().partitionId()
         packer = Packer(rows.piece, part << 32, window, opened)
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -223,4 +243,4 @@ def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int
 def op5(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), encode_special_tokens=False)

@@ -264,6 +264,25 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_added_tokens(spark, tmp_path):
+    """The query's ids are the library's with add_special_tokens=False: strings of added tokens get their ids."""
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext| > plain", "one <|endoftext|>two three", " <|endoftext|> "]
+    want = {i: np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    import corpus_pipeline
+
+    for got in (packing.op5(spark, str(tmp_path)), corpus_pipeline.pack(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))):
+        rows = got.collect()
+        assert sum(r.length for r in rows) == sum(len(x) // 4 for x in want.values())
+        for r in rows:
+            ids = want[r.doc_id]
+            assert r.doc_tokens == len(ids) // 4 and zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+
+
 def test_packing_merges_in_rounds(docs):
     got = packing.pack(docs.repartition(9), fan_in=2, opened=2).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("*").alias("c"), F.countDistinct("offset").alias("d")).collect()
     assert all(r.n & (r.n - 1) == 0 and r.c == r.d for r in got)
