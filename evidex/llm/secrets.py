@@ -1,10 +1,12 @@
 """Secret scans: fixed patterns plus a token-efficiency test.
 
 Random strings are cut into short tokens by a vocabulary learned from text, so their characters per token
-are few. Candidates are runs of 20 or more characters of [A-Za-z0-9+/_=-] with a digit and a letter; known
-digests (hex of 32, 40, 64, 96 or 128 characters, with or without a name such as sha256-), UUIDs and runs that
-touch a span of the patterns are excluded; what has fewer than max_ratio characters per token is a span
-of kind `token`.
+are few. Candidates are runs of 20 or more characters of [A-Za-z0-9+/_=-] with a digit and a letter. UUIDs
+and spans of the patterns are cut out, and what is left on each side is a run of its own. Known digests (hex of
+32, 40, 64, 96 or 128 characters, with or without a name such as sha256-) are excluded, as a run and as a part
+of one. A run with fewer than max_ratio characters per token is a span of kind `token`; of any other run each
+part of 20 or more characters between '/', '_', '-' and '=' is scored alone, so words before or
+behind a random string don't hide it.
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated rows are scanned each;
 further columns are carried along untouched by `scan`.
@@ -25,6 +27,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a maximal run of 24 or more is what [0-9a-f]+ matches there
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[A-Za-z0-9+]{20,}")
+LEAST = 20
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-=_])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})", re.A)
 ORDER = {"assign": 0, "access": 1, "hex": 2, "token": 3}
@@ -56,16 +60,26 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def random_like(run: str, encoder, max_ratio: float) -> bool:
+    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run):
+        return False
+    return len(run) / len(encoder.encode_ordinary(run)) < max_ratio
+
+
 def token_spans(text: str, taken: list[tuple[str, int, int]], encoder, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
     out = []
     for m in RUN.finditer(text):
-        run = m[0]
-        if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or UUID.search(run) or DIGEST.fullmatch(run):
-            continue
-        if any(a < m.end() and m.start() < b for _, a, b in taken):
-            continue
-        if len(run) / len(encoder.encode_ordinary(run)) < max_ratio:
-            out.append(("token", m.start(), m.end()))
+        cuts = [(a, z) for _, a, z in taken if a < m.end() and m.start() < z]
+        cuts += [u.span() for u in UUID.finditer(text, m.start(), m.end())]
+        at = m.start()
+        for a, z in [*sorted(cuts), (m.end(), m.end())]:
+            if a - at >= LEAST:
+                run = text[at:a]
+                if random_like(run, encoder, max_ratio):
+                    out.append(("token", at, a))
+                elif not DIGEST.fullmatch(run):
+                    out += [("token", at + p.start(), at + p.end()) for p in PART.finditer(run) if p.end() - p.start() < len(run) and random_like(p[0], encoder, max_ratio)]
+            at = max(at, z)
     return out
 
 
