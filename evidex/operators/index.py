@@ -73,10 +73,18 @@ def top_k(scored: DataFrame, k: int | str, order: tuple[str, ...] = ("doc_id", "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int = 1024) -> DataFrame:
-    """query_id, vec_id, score, rank by exact cosine. queries (query_id, q) are at most most_queries rows, checked, and sent to all tasks."""
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 1024) -> DataFrame:
+    """query_id, vec_id, score, rank by exact cosine. queries (query_id, q) go to all tasks in blocks of about `block` rows; each block is cut to its k best before the next.
+
+    most_queries, if given, refuses more queries than that.
+    """
+    if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} query vectors: search them in batches")
-    rows = vectors.select("vec_id", "embedding").join(F.broadcast(queries), F.lit(True))
-    return top_k(rows.select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k, ("vec_id",))
+    blocks = max(1, -(-queries.count() // block))
+    out = None
+    for b in range(blocks):
+        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        rows = vectors.select("vec_id", "embedding").join(F.broadcast(some), F.lit(True))
+        best = top_k(rows.select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k, ("vec_id",))
+        out = best if out is None else out.unionByName(best)
+    return out

@@ -411,6 +411,13 @@ def vector_topk(spark, sf):
     return index.vector_top_k(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings, q), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
+def vector_topk_all(spark, sf):
+    """The whole query set of vector_topk: every row whose id is divisible by 20."""
+    e = read_table(spark, sf, "embeddings")
+    return index.vector_top_k(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
 def truth_docs(spark, sf) -> DataFrame:
     """Rendered documents with their metadata and file names."""
     m = fields.metadata(rendered(spark, sf).select("doc_id", "page_number", "text"))

@@ -174,3 +174,13 @@ def test_query(spark, name):
     cols = [c[0] for c in want.description]
     assert sorted(cols) == sorted(df.columns)
     assert plain(rows, df.columns) == plain(want.fetchall(), cols)
+
+
+def test_vector_blocks(spark):
+    e = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "vec_id long, embedding array<float>")
+    q = e.selectExpr("vec_id AS query_id", "embedding AS q")
+    key = lambda d: sorted(tuple(r) for r in d.collect())
+    got = key(index.vector_top_k(e, q, 4, block=25))
+    assert len(got) == 240 and got == key(index.vector_top_k(e, q, 4))
+    many = spark.range(1100).selectExpr("id AS query_id", "array(1.0F, CAST(id AS FLOAT), 2.0F) AS q")
+    assert index.vector_top_k(e, many, 2).count() == 2200
