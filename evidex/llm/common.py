@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Word characters of the word-based operators: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch between the JVM and a Python worker.
+ARROW_BYTES = 4 << 20
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -20,16 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a folder of our own only where none is set (local tests)."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where none is set, a temporary folder on a local master, an error on a cluster."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    wanted = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="evidex-ckpt-")
+    wanted = spark.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+    if not wanted:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        wanted = tempfile.mkdtemp(prefix="evidex-ckpt-")
     sc.setCheckpointDir(wanted)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, with its session's Arrow batches held to ARROW_BYTES (unless the session has a smaller bound): what a Python worker and its task hold at once doesn't grow with the rows' size."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxBytesPerOutputBatch", ARROW_BYTES)):
+        now = re.fullmatch(r"(-?\d+)b?", conf.get(key))
+        if not now or not 0 < int(now[1]) <= most:
+            conf.set(key, str(most))
+    return df
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and cut its lineage; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import crc32_of, string_bytes
+from .common import bounded_batches, crc32_of, string_bytes
 
 HIDDEN, SEGMENT = 8, 64
 PER_LANG, MAX_LANGS, SPAN, GROUPS = 300, 64, 384, 16
@@ -214,6 +214,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, span: int = SPAN) -> Ne
 
 def identify(docs: DataFrame, labelled: DataFrame, names: tuple[str, str] = ("lang_pred", "score"), **options) -> DataFrame:
     """docs with the predicted language and its score, under `names` (columns of docs with these names give way); labelled rows (doc_id, text, lang) train the network. Reads text only."""
+    bounded_batches(docs)
     net = train(labelled, **options)
     keep = [c for c in docs.columns if c not in names]
     schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")

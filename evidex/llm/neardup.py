@@ -5,11 +5,14 @@
 2. Texts with equal sets are one class; from here on only its smallest id counts, however many copies.
 3. Members of a band bucket are compared by signature bytes in batches; a pair is dropped as soon as the
    posterior probability (uniform prior) of similarity >= 75/100 falls below MISS. Of what survives,
-   a bucket gives a spanning forest only. Buckets over BLOCK members are cut into a grid of blocks.
+   a bucket gives a spanning forest only. A bucket of more than BLOCK members is cut into blocks, each with
+   the same PIVOTS members of the bucket, so its work and its rows grow with its size, not with the square.
 4. Forest edges are verified exactly on the full sets, recomputed from the whole texts.
-5. Where an edge fails, the forest says nothing about the rest of its bucket. Such a bucket gets its texts,
-   and all surviving pairs between different components are verified inside its cells, which again return
-   a forest. So no link that survived step 3 is lost, and no step lists the pairs of a group.
+5. Where an edge fails, or a bucket was cut, the forest doesn't say all of the bucket. Of such a bucket the members that
+   aren't in its most frequent component by now (the rest) are compared with all others; what lies in one
+   component is not compared again. Only rows that survive with one of another component get their texts, and
+   are verified inside the cell, which again returns a forest. So no link that passes step 3's test is lost, and no step lists the
+   pairs of a group. A bucket that is one large group, as hot ones are, is linear; rest x bucket otherwise.
 
 Edge cases: null and empty texts and texts without words have 0 shingles and link with nothing; fewer than
 5 words are one shingle; equal sets always link; a repeated row shares its id's component; rows with a null
@@ -28,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import checkpoint, mix64, string_bytes
+from .common import bounded_batches, checkpoint, mix64, string_bytes
 from .graph import connected_components
 
-BANDS, ROWS, SAME, OF, MISS, BLOCK, EXACT_BLOCK = 20, 4, 75, 100, 1e-4, 2048, 512
+BANDS, ROWS, SAME, OF, MISS, BLOCK, EXACT_BLOCK, PIVOTS = 20, 4, 75, 100, 1e-4, 2048, 256, 16
 BATCH = 20  # signature bytes compared before each look at the posterior
 _MULT = np.random.default_rng(77).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -152,23 +155,40 @@ def verified_forest(test: Survivors, side: np.ndarray, label: np.ndarray, sets:
     return out
 
 
-def _compare(members: DataFrame, miss: float, exact: bool = False) -> DataFrame:
+def sifted(test: Survivors, side: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Rows that survive with one of another label (and side)."""
+    some = np.zeros(len(side), bool)
+    for x in range(len(side) - 1):
+        rest = np.arange(x + 1, len(side))
+        hit = test.of(x, rest[(label[rest] != label[x]) & ((side[x] < 0) | (side[rest] != side[x]))])
+        some[hit] = True
+        some[x] |= len(hit) > 0
+    return np.flatnonzero(some)
+
+
+def _compare(members: DataFrame, miss: float, step: str = "forest") -> DataFrame:
     """key, a, b of a spanning forest of each cell (key, bi, bj) of members (key, bi, bj, blk, rep, n, sig): of the surviving pairs, to be verified.
 
-    exact: members have label and z (compressed text), too; surviving pairs of different labels are verified here, and links that join them are returned.
+    step `sift`: members have label, too; key, bi, bj, rep of the rows that survive with one of another label are returned.
+    step `exact`: members have label and z (compressed text); surviving pairs of different labels are verified here, and links that join them are returned.
     """
-    steps = least_matches(miss)
+    steps, names = least_matches(miss), ["key", "bi", "bj", "rep"] if step == "sift" else ["key", "a", "b"]
 
     def cell(key, bi, bj, blk, rep, n, sig, label, z, out):
         o = np.argsort(rep, kind="stable")
-        blk, rep, n, sig = blk[o], rep[o], n[o], sig[o]
+        blk, rep, n, sig, label = blk[o], rep[o], n[o], sig[o], label[o]
         side = blk if bi != bj else np.full(len(rep), -1)
         test = Survivors(n, sig, steps)
-        if exact:
-            if (label == label[0]).all():
-                return
+        if step != "forest" and (label == label[0]).all():
+            return
+        if step == "sift":
+            some = rep[sifted(test, side, label)]
+            for c, v in zip(out, (key, bi, bj, some), strict=True):
+                c.append(np.full(len(some), v) if c is not out[3] else v)
+            return
+        if step == "exact":
             d = zstandard.ZstdDecompressor()
-            found = [(x, np.array([y])) for x, y in verified_forest(test, side, label[o], Overlaps([d.decompress(z[i]) for i in o]))]
+            found = [(x, np.array([y])) for x, y in verified_forest(test, side, label, Overlaps([d.decompress(z[i]) for i in o]))]
         else:
             found = forest(test, side)
         for x, hit in found:
@@ -192,26 +212,51 @@ def _compare(members: DataFrame, miss: float, exact: bool = False) -> DataFrame:
 
     def work(t):
         key, bi, bj, blk, rep, n = (t.column(c).to_numpy() for c in ("key", "bi", "bj", "blk", "rep", "n"))
-        label, z = (t.column("label").to_numpy(), t.column("z").to_pylist()) if exact else (rep, [])
+        label = t.column("label").to_numpy() if step != "forest" else rep
+        z = t.column("z").to_pylist() if step == "exact" else []
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(rep), BANDS * ROWS)
         cut = np.flatnonzero((key[1:] != key[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1
-        out = [[], [], []]
+        out = [[] for _ in names]
         for a, e in zip([0, *cut.tolist()], [*cut.tolist(), len(key)], strict=True):
             if e - a > 1:
                 cell(key[a], bi[a], bj[a], blk[a:e], rep[a:e], n[a:e], sig[a:e], label[a:e], z[a:e], out)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], ["key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, np.int64), pa.int64()) for c in out], names)
+
+    return members.sortWithinPartitions("key", "bi", "bj").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _shared(reps: DataFrame) -> DataFrame:
+    """key, cnt of the band buckets with two or more members."""
+    return reps.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
+
+
+def _rows(reps: DataFrame, keys: DataFrame) -> DataFrame:
+    """rep, n, sig of the members of buckets `keys`, with its columns."""
+    return reps.select("rep", F.explode("bands").alias("key")).join(keys, "key").join(reps.select("rep", "n", "sig"), "rep")
+
 
-    return members.sortWithinPartitions("key", "bi", "bj").mapInArrow(run, "key long, a long, b long")
+def _blocks(reps: DataFrame, shared: DataFrame, block: int, pivots: int) -> DataFrame:
+    """Members by cell; a bucket of more than `block` members is cut into blocks, each with the bucket's pivots (smallest hashes of `pivots` parts of it)."""
+    size = shared.withColumn("nb", F.ceil(F.col("cnt") / block).cast("long"))
+    rows = _rows(reps, size).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")))
+    names = ["key", F.col("blk").alias("bi"), F.col("blk").alias("bj"), "blk", "rep", "n", "sig"]
+    hot = size.where("nb > 1")
+    if hot.isEmpty():
+        return rows.select(*names)
+    part, order = F.pmod(F.xxhash64(F.lit(1), "rep"), F.lit(pivots)), F.struct(F.xxhash64(F.lit(2), "rep"), "rep")
+    first = _rows(reps, hot).groupBy("key", "nb", part.alias("p")).agg(F.min_by(F.struct("rep", "n", "sig"), order).alias("v"))
+    first = first.select("key", "v.*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("blk"))
+    return rows.select(*names).unionByName(first.select(*names))
 
 
-def _members(reps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows of the band buckets with two or more members, by cell: a bucket of more than `block` members is a grid of blocks."""
-    keys = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    rows = keys.join(shared, "key").join(reps.select("rep", "n", "sig"), "rep")
-    rows = rows.withColumn("nb", F.ceil(F.col("cnt") / block).cast("int")).withColumn("blk", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    return rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "sig")
+def _rest(held: DataFrame, block: int) -> DataFrame:
+    """Cells of members (key, rep, n, sig, label) that aren't in their bucket's most frequent label against all of the bucket; buckets of one label have none."""
+    by = held.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.max("c").alias("most"), F.sum("c").alias("all")).where("most < all")
+    by = by.select("key", "top", F.ceil((F.col("all") - F.col("most")) / block).cast("long").alias("nr"), F.ceil(F.col("most") / block).cast("long").alias("nd"))
+    h, rest = F.xxhash64("rep"), F.col("label") != F.col("top")
+    rows = held.join(by, "key").withColumn("blk", F.when(rest, F.pmod(h, F.col("nr"))).otherwise(F.col("nr") + F.pmod(h, F.col("nd"))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(rest, F.col("nr") + F.col("nd") - 1).otherwise(F.col("nr") - 1))))
+    return rows.select("key", F.least("blk", "other").alias("bi"), F.greatest("blk", "other").alias("bj"), "blk", "rep", "n", "sig", "label")
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -256,23 +301,25 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long, ok boolean")
 
 
-def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
+def near_duplicates(docs: DataFrame, miss: float = MISS, block: int = BLOCK, exact_block: int = EXACT_BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text)."""
+    bounded_batches(docs)
     sigs = checkpoint(signatures(docs))
     reps = checkpoint(sigs.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
-    pairs = checkpoint(_compare(_dealt(_members(reps)), miss))
+    shared = checkpoint(_shared(reps))
+    pairs = checkpoint(_compare(_dealt(_blocks(reps, shared, block, pivots)), miss))
     checked = checkpoint(verify(pairs.select("a", "b").where("a <> b").distinct(), docs))
     links = checked.where("ok").select("a", "b")
     parts = connected_components(links)
     failed = checked.where("NOT ok").select("a", "b")
-    if not failed.isEmpty():
-        bad = pairs.join(failed, ["a", "b"], "left_semi").select("key").distinct()
-        again = _members(reps, EXACT_BLOCK).join(bad, "key", "left_semi").join(parts, F.col("rep") == F.col("node"), "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
-        mixed = again.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        again = checkpoint(again.join(mixed, "key", "left_semi"))
-        ids = again.select(F.col("rep").alias("id")).distinct()
+    open_keys = pairs.join(failed, ["a", "b"], "left_semi").select("key").unionByName(shared.where(F.col("cnt") > block).select("key")).distinct()
+    if not open_keys.isEmpty():
+        held = _rows(reps, open_keys).join(parts, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "sig", F.coalesce("component", "rep").alias("label"))
+        cells = checkpoint(_rest(held, exact_block))
+        some = checkpoint(cells.join(_compare(_dealt(cells), miss, "sift"), ["key", "bi", "bj", "rep"], "left_semi"))
+        ids = some.select(F.col("rep").alias("id")).distinct()
         texts = packed_texts(docs.where("doc_id IS NOT NULL AND text IS NOT NULL")).join(ids, F.col("doc_id") == F.col("id"), "left_semi")
-        late = checkpoint(_compare(_dealt(again.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")), miss, exact=True)).select("a", "b")
+        late = checkpoint(_compare(_dealt(some.join(texts, F.col("rep") == F.col("doc_id")).drop("doc_id")), miss, "exact")).select("a", "b")
         parts = connected_components(links.unionByName(late))
     of = reps.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("n").alias("cn"), F.col("f1").alias("c1"), F.col("f2").alias("c2"), F.coalesce("component", "rep").alias("comp"))
     out = sigs.select("doc_id", "n", "f1", "f2").join(of, (F.col("n") == F.col("cn")) & (F.col("f1") == F.col("c1")) & (F.col("f2") == F.col("c2")) & F.col("doc_id").isNotNull(), "left")

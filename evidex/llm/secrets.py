@@ -21,6 +21,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import bounded_batches
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 #: Cheap test for ASSIGN: one of its words must be there.
 KEYWORDS = ("password", "passwd", "secret", "token", "api")
@@ -109,7 +111,7 @@ def scan(docs: DataFrame, max_ratio: float = MAX_RATIO, vocabulary_path: str | N
                  pa.array([hashlib.sha256(digest(x).encode()).hexdigest() for x, _ in rows], pa.string()), pa.array([digest(full) for _, full in rows], pa.string())],
                 ["doc_id", "n_assign", "n_access", "n_hex", "n_token", "base_sha256", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_token long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", max_ratio: float = MAX_RATIO, vocabulary_path: str | None = None) -> DataFrame:
@@ -135,7 +137,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", max_ratio: float = MAX_RATIO
                 cols["n_chars"] = pa.array([None if t is None else len(t) for t in texts], b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
-    return docs.mapInArrow(run, schema)
+    return bounded_batches(docs).mapInArrow(run, schema)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:

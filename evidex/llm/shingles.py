@@ -17,15 +17,21 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]
 _STEP = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+_KEPT = 1 << 19  # powers kept by a worker; a longer batch (one long text) makes its own
+_powers: list[np.ndarray] = []
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n + 1:
-        size = max(n + 1, 1 << 20)
-        for k, b in (("up", _BASE), ("down", _INVERSE)):
-            _powers[k] = np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(size, b, np.uint64))])
-    return _powers["up"], _powers["down"]
+def _made(n: int) -> list[np.ndarray]:
+    return [np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, b, np.uint64))]) for b in (_BASE, _INVERSE)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers 0 to n, or more, of the base and of its inverse."""
+    if n > _KEPT:
+        return _made(n)
+    if not _powers:
+        _powers.extend(_made(_KEPT))
+    return _powers
 
 
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,7 +88,7 @@ def sets(data: np.ndarray, offs: np.ndarray, width: int = 5) -> tuple[np.ndarray
     return s[keep], seen[at]
 
 
-def batches(data: np.ndarray, offs: np.ndarray, most: int = 2 << 20):
+def batches(data: np.ndarray, offs: np.ndarray, most: int = 1 << 19):
     """Ranges of texts of about `most` bytes each: (first, last, data, offsets)."""
     a, n = 0, len(offs) - 1
     while a < n:

@@ -115,19 +115,30 @@ def test_neardup(docs, empty):
     assert neardup.near_duplicates(empty).count() == 0
 
 
-def test_neardup_borderline_group(spark, monkeypatch):
-    """A group around the threshold, where forests fail and buckets are verified inside, over several blocks."""
-    monkeypatch.setattr(neardup, "BLOCK", 16)
-    monkeypatch.setattr(neardup, "EXACT_BLOCK", 16)
+@pytest.mark.parametrize("block,pivots", [(2048, 16), (16, 2), (16, 8)])
+def test_neardup_borderline_group(spark, block, pivots):
+    """A group around the threshold and a tight one, where forests fail and buckets are cut and searched again."""
     rng = random.Random(4)
-    base = [word(rng) for _ in range(150)]
+    base, tight = ([word(rng) for _ in range(150)] for _ in range(2))
     rows = [(i, " ".join(word(rng) if rng.random() < 0.03 else w for w in base)) for i in range(90)]
+    rows += [(100 + i, " ".join(word(rng) if rng.random() < 0.004 else w for w in tight)) for i in range(80)]
     s = sets_of(rows)
     want = components(s, lambda i, j: 100 * len(s[i] & s[j]) >= 75 * len(s[i] | s[j]))
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block, exact_block=block, pivots=pivots).collect()}
     assert got == want
 
 
+def test_neardup_large_bucket_is_linear(spark):
+    """Rows of the cells grow with a bucket, not with its square."""
+    def cells(n):
+        reps = spark.range(n).selectExpr("id AS rep", "array(7L) AS bands", "100L AS n", "CAST(repeat('x', 80) AS BINARY) AS sig")
+        first = neardup._blocks(reps, neardup._shared(reps), 100, 4).count()
+        held = reps.selectExpr("7L AS key", "rep", "n", "sig", "CASE WHEN rep < 20 THEN rep ELSE 20L END AS label")
+        return first, neardup._rest(held, 100).count()
+
+    assert cells(8000) == (8000 + 80 * 4, 8000 + 80 * 20) and cells(2000) == (2000 + 20 * 4, 2000 + 20 * 20)
+
+
 def brute_suffix(rows):
     seen, out = {}, {}
     texts = {i: (t or "").encode() for i, t, *_ in rows if i is not None}
