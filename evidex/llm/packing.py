@@ -8,7 +8,8 @@ the same rule; the last ids of all are cut at powers of two, which need no paddi
 
 Edge cases: null and empty texts are the single closing id; repeated rows are packed each; a null doc_id
 is kept as null; an empty table gives no pieces; columns beyond doc_id and text are ignored. Texts of any
-length are handled in memory one at a time.
+length are handled in memory one at a time; chunks with a run of over LONG white space characters, where tiktoken's
+regular expression runs out of stack, are encoded by the tokenizers library.
 """
 
 from __future__ import annotations
@@ -23,23 +24,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import bounded_batches, checkpoint
 
 WINDOW, OPEN, FAN_IN, CLOSING = 1024, 32, 64, 0
 #: Where GPT-2 style pre-tokens always begin: a space before something that isn't white space.
 SPLIT = re.compile(r" (?=\S)")
-CACHE = 300_000
+CACHE, LONG = 100_000, 100_000
+LONG_WHITE = re.compile(r"\s{%d}" % LONG)
 
 _tokenizers: dict = {}
+_libraries: dict = {}
 
 
 class _Ids(dict):
     """Chunk of text -> its ids as little-endian unsigned 32-bit bytes; prefix is put before the chunk. Bounded."""
 
-    def __init__(self, encoder, prefix: str):
-        self.encoder, self.prefix = encoder, prefix
+    def __init__(self, encoder, prefix: str, path: str):
+        self.encoder, self.prefix, self.path = encoder, prefix, path
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > LONG and LONG_WHITE.search(chunk):
+            return array("I", library_tokenizer(self.path).encode(self.prefix + chunk, add_special_tokens=False).ids).tobytes()
         ids = array("I", self.encoder.encode_ordinary(self.prefix + chunk)).tobytes()
         if len(chunk) <= 48:
             if len(self) >= CACHE:
@@ -48,6 +53,16 @@ class _Ids(dict):
         return ids
 
 
+def library_tokenizer(path: str):
+    """The tokenizers library's own, for text without added tokens; one per process."""
+    if path not in _libraries:
+        from tokenizers import Tokenizer
+
+        _libraries[path] = Tokenizer.from_file(path)
+        _libraries[path].encode_special_tokens = True
+    return _libraries[path]
+
+
 def added_tokens(path: str) -> dict[str, int]:
     with open(path, encoding="utf-8") as f:
         added = json.load(f).get("added_tokens", [])
@@ -82,7 +97,7 @@ def tokenizer(path: str | None = None, encode_special_tokens: bool = False):
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     if (path, encode_special_tokens) not in _tokenizers:
         encoder = byte_level_encoder(path)
-        first, later, closing = _Ids(encoder, ""), _Ids(encoder, " "), array("I", [CLOSING]).tobytes()
+        first, later, closing = _Ids(encoder, "", path), _Ids(encoder, " ", path), array("I", [CLOSING]).tobytes()
         added = {} if encode_special_tokens else {k: array("I", [v]).tobytes() for k, v in added_tokens(path).items()}
         # the longest of those that start at one place
         border = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
@@ -187,13 +202,14 @@ class _Rows:
         return batch
 
 
-def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int = FAN_IN, tokenizer_path: str | None = None, encode_special_tokens: bool = True) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int = FAN_IN, tokenizer_path: str | None = None, encode_special_tokens: bool = False) -> DataFrame:
     """Pieces of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     One pass over the documents without a shuffle; only ids of windows left open (at most `opened` a
-    partition) go to the merge, which takes `fan_in` partitions at a time until one group is left. The query and the
-    pipeline pass encode_special_tokens=False, so that strings of added tokens get their ids.
+    partition) go to the merge, which takes `fan_in` partitions at a time until one group is left. Strings of added tokens get their ids, unless
+    encode_special_tokens.
     """
+    bounded_batches(docs)
 
     def first(batches):
         encode, rows, part = tokenizer(tokenizer_path, encode_special_tokens), _Rows(), TaskContext.get().partitionId()
@@ -243,4 +259,4 @@ def pack(docs: DataFrame, window: int = WINDOW, opened: int = OPEN, fan_in: int
 def op5(spark, sf_dir: str) -> DataFrame:
     from .common import table
 
-    return pack(table(spark, sf_dir, "documents"), encode_special_tokens=False)
+    return pack(table(spark, sf_dir, "documents"))

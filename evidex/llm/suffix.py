@@ -25,13 +25,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import input_bytes, mix64, string_bytes
+from .common import bounded_batches, input_bytes, mix64, string_bytes
 from .shingles import batches
 
 WIDTH, SEED = 50, 12
 SPAN = WIDTH - SEED + 1  # seeds in a window, and the most windows that one string carries
 ROW = -(-(WIDTH + SPAN - 1) // 8) * 8
 BATCH, CHUNK, PER_BUCKET = 8 << 20, 1 << 20, 5 << 19
+BITS = 21  # of a place in a chunk of at most CHUNK + WIDTH - 1 bytes
 _K = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.iinfo(np.int64).min  # stands for a null id
 
@@ -52,14 +53,15 @@ def _seeds(data: np.ndarray) -> np.ndarray:
 
 
 def strings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimiser: row, start in data, number of windows, place of the minimiser in the run's first window, minimiser."""
+    """Runs of windows with one minimiser: row, start in data (under 2**BITS bytes), number of windows, place of the minimiser in the run's first window, minimiser."""
     n = len(data)
+    if n >= 1 << BITS:
+        raise ValueError(f"a chunk of {n} bytes; chunks() cuts them")
     none = np.zeros(0, np.int64)
     if n < WIDTH:
         return none, none, none, none, np.zeros(0, np.uint64)
     h = _seeds(data)
-    bits = np.uint64(max(1, n).bit_length())
-    low = (np.uint64(1) << bits) - np.uint64(1)
+    low = np.uint64((1 << BITS) - 1)  # as many bits in every chunk, so equal windows choose alike
     best = (h & ~low) | np.arange(len(h), dtype=np.uint64)  # equal hashes: the leftmost
     step = 1
     while step * 2 <= SPAN:
@@ -80,6 +82,14 @@ def strings(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     return row, start, last - start + 1, place[start] - start, h[place[start]]
 
 
+def chunks(data: np.ndarray, offs: np.ndarray, most: int = CHUNK):
+    """batches(), with a text of over `most` bytes cut into chunks that overlap by WIDTH - 1 bytes, so each window is in one: first and last text, data, offsets, place of the data in the text."""
+    for a, z, d, o in batches(data, offs, most):
+        for s in range(0, max(1, len(d) - WIDTH + 1), most) if z == a + 1 else (0,):
+            part = d[s : s + most + WIDTH - 1] if z == a + 1 else d
+            yield a, z, part, np.array([0, len(part)]) if z == a + 1 else o, s
+
+
 def gather(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """data[start : start + size] of all, joined."""
     at = np.cumsum(size) - size
@@ -196,11 +206,11 @@ def _send(docs: DataFrame, buckets: int) -> DataFrame:
         for b in it:
             ids = b.column(0).cast(pa.int64()).fill_null(NONE).to_numpy()
             data, offs = string_bytes(b.column(1))
-            for a, z, d, o in batches(data, offs, CHUNK):
+            for a, z, d, o, shift in chunks(data, offs):
                 row, start, num, place, mini = strings(d, o)
                 ok = ids[a:z][row] != NONE
                 row, start, num, place, mini = row[ok], start[ok], num[ok], place[ok], mini[ok]
-                held.append((ids[a:z][row], start - o[row], num, place, mini, start + n, num + WIDTH - 1, d))
+                held.append((ids[a:z][row], start - o[row] + shift, num, place, mini, start + n, num + WIDTH - 1, d))
                 n += len(d)
                 if n >= BATCH:
                     yield batch(held)
@@ -363,7 +373,7 @@ def merged(start: np.ndarray, end: np.ndarray, length: int) -> tuple[np.ndarray,
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of docs (doc_id, text); with_text adds kept (bytes) and spans (array of start, end)."""
-    size = input_bytes(docs)
+    size = input_bytes(bounded_batches(docs))
     conf = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(conf, -(-size // PER_BUCKET))
     parts = max(conf, -(-buckets // 4))

@@ -169,6 +169,35 @@ def test_suffix(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffix_chunks():
+    """Windows choose the same minimisers whatever chunk they are in; chunks of a long text hold each window once."""
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 101, 5000).astype(np.uint8)
+
+    def windows(data, offs, most):
+        out = []
+        for _, _, d, o, shift in suffix.chunks(data, offs, most):
+            row, start, num, place, mini = suffix.strings(d, o)
+            for s, n, p, m in zip(start.tolist(), num.tolist(), place.tolist(), mini.tolist(), strict=True):
+                out += [(shift + s + k, p - k, m) for k in range(n)]
+        return sorted(out)
+
+    whole = windows(text, np.array([0, 5000]), 1 << 20)
+    assert [w[0] for w in whole] == list(range(4951)) and windows(text, np.array([0, 5000]), 300) == whole
+    big = np.concatenate([text, rng.integers(0, 255, 900_000).astype(np.uint8)])
+    assert windows(big, np.array([0, len(big)]), 1 << 20)[:4951] == whole
+
+
+def test_suffix_long_texts(spark):
+    """A text of more than a chunk: repeats across the chunk's border are found."""
+    rng = random.Random(6)
+    a = "".join(rng.choices("abcd ", k=suffix.CHUNK + 9000))
+    rows = [(1, a), (2, "x" * 333 + a[suffix.CHUNK - 90 : suffix.CHUNK + 60] + "y" * 80), (3, a[:70] + "q" * 60 + a[-5000:]), (4, None)]
+    want = brute_suffix(rows)
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
 def test_compact(docs, empty):
     rows = {r[0]: WORD.findall((r[1] or "").translate(LOWER)) for r in corpus() if r[0] is not None}
     owners = {}
@@ -251,7 +280,6 @@ def test_packing(docs, empty):
     import public_tokenizers
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
     rows = corpus()
     want = {}
     for i, t, *_ in rows:
@@ -281,7 +309,7 @@ def test_packing_added_tokens(spark, tmp_path):
     import public_tokenizers
 
     tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext| > plain", "one <|endoftext|>two three", " <|endoftext|> "]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "<|endoftext| > plain", "one <|endoftext|>two three", " <|endoftext|> ", "a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "c  \n" * 50_000 + "\t" * 1_100_000 + "\nd <|endoftext|>", "ab" * 1_000_000]
     want = {i: np.array([*tk.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     import corpus_pipeline
