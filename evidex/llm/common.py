@@ -39,11 +39,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, with its session's Arrow batches held to ARROW_BYTES (unless the session has a smaller bound): what a Python worker and its task hold at once doesn't grow with the rows' size."""
-    conf = df.sparkSession.conf
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES), ("spark.sql.execution.arrow.maxBytesPerOutputBatch", ARROW_BYTES)):
-        now = re.fullmatch(r"(-?\d+)b?", conf.get(key))
-        if not now or not 0 < int(now[1]) <= most:
-            conf.set(key, str(most))
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(-?\d+)b?", conf.get(key))
+    if not now or not 0 < int(now[1]) <= ARROW_BYTES:
+        conf.set(key, str(ARROW_BYTES))
     return df
 
 
