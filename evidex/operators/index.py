@@ -2,48 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
+from .retrieve import only_allowed
 
 KEY = ["doc_id", "chunk_index"]
 K1, B = 1.2, 0.75
 
 
-def postings(chunks: DataFrame, fields: list[str]) -> DataFrame:
+WHOLE = ("doc_number", "supplier_name")  # fields that match as whole values only
+
+
+def _words(f: str, whole: tuple[str, ...]) -> Column:
+    """Terms of a field: words, or `=` and the value."""
+    if f in whole:
+        return F.when(F.coalesce(f, F.lit("")) != "", F.array(F.concat(F.lit("="), f))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def postings(chunks: DataFrame, fields: list[str], whole: tuple[str, ...] = WHOLE) -> DataFrame:
     """field, term, tf and the field's length for every chunk."""
     out = None
     for f in fields:
-        toks = F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-        one = chunks.select(*KEY, F.lit(f).alias("field"), toks.alias("t")).withColumn("len", F.size("t")).select(*KEY, "field", "len", F.explode("t").alias("term"))
+        one = chunks.select(*KEY, F.lit(f).alias("field"), _words(f, whole).alias("t")).withColumn("len", F.size("t")).select(*KEY, "field", "len", F.explode("t").alias("term"))
         one = one.groupBy(*KEY, "field", "len", "term").agg(F.count("*").alias("tf"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None) -> DataFrame:
-    """query_id, doc_id, chunk_index, score: best boosted field by BM25 of the query's words (queries: query_id, text).
+def keyword_text() -> Column:
+    """What a routed query asks of the keyword index: its search terms, or its normal form if there are none."""
+    return F.when(F.size("terms") > 0, F.array_join("terms", " ")).otherwise(X.normal_search("text"))
+
+
+def bm25(chunks: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, whole: tuple[str, ...] = WHOLE, allowed: DataFrame | None = None, bound: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, chunk_index, score (6 places, so that ties are ties): best boosted field by BM25 of the query's words (queries: query_id, text).
 
-    Document frequencies and mean lengths are aggregated from the postings; only postings of asked words are scored.
+    Document frequencies and mean lengths are of all chunks; only postings of asked words are scored, and those of queries of
+    `bound` (query_id) only in their `allowed` documents (query_id, doc_id). stored: postings() written before.
     """
     boosts = boosts or V.FIELD_BOOSTS
-    p = postings(chunks, list(boosts))
+    p = stored if stored is not None else postings(chunks, list(boosts), whole)
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    q = queries.select("query_id", F.explode(words).alias("q_term"))
-    stats = None
-    for f in boosts:
-        toks = F.size(F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
-        one = chunks.agg(F.lit(f).alias("s_field"), F.count("*").alias("n"), F.avg(toks).alias("mean"), F.lit(boosts[f]).alias("boost"))
-        stats = one if stats is None else stats.unionByName(one)
+    q = queries.select("query_id", F.explode(F.concat(words, F.array(F.concat(F.lit("="), "text")))).alias("q_term"))
+    sizes = [F.lit(1.0).alias(f"m_{f}") if f in whole else F.avg(F.size(_words(f, whole))).alias(f"m_{f}") for f in boosts]
+    stats = chunks.agg(F.count("*").alias("n"), *sizes).select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("s_field"), F.col(f"m_{f}").alias("mean"), F.lit(float(b)).alias("boost")) for f, b in boosts.items()])).alias("s")).select("n", "s.*")
     asked = p.join(q.select(F.col("q_term").alias("a")).distinct(), F.col("term") == F.col("a"), "left_semi")
     df = asked.groupBy(F.col("field").alias("d_field"), F.col("term").alias("d_term")).agg(F.count("*").alias("df"))
     rows = asked.join(df, (F.col("field") == F.col("d_field")) & (F.col("term") == F.col("d_term"))).join(F.broadcast(stats), F.col("field") == F.col("s_field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = rows.withColumn("w", weight).join(q, F.col("term") == F.col("q_term"))
-    return scored.groupBy("query_id", *KEY, "field").agg(F.sum("w").alias("s")).groupBy("query_id", *KEY).agg(F.max("s").alias("score"))
+    scored = only_allowed(rows.withColumn("w", weight).join(q, F.col("term") == F.col("q_term")), allowed, bound)
+    return scored.groupBy("query_id", *KEY, "field").agg(F.sum("w").alias("s")).groupBy("query_id", *KEY).agg(F.round(F.max("s"), 6).alias("score"))
 
 
 def hashed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> DataFrame:
@@ -63,7 +76,7 @@ def embed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> DataF
 def hashed_search(chunks: DataFrame, queries: DataFrame, size: int = 384) -> DataFrame:
     """query_id, doc_id, chunk_index, score by cosine of hashed embeddings, joined slot by slot; chunks that share no slot are left out."""
     c, q = hashed(chunks, KEY, "search_text", size), hashed(queries, ["query_id"], "text", size)
-    return c.join(q.select("query_id", F.col("slot").alias("s"), F.col("value").alias("qv")), F.col("slot") == F.col("s")).groupBy("query_id", *KEY).agg(F.sum(F.col("value") * F.col("qv")).alias("score"))
+    return c.join(q.select("query_id", F.col("slot").alias("s"), F.col("value").alias("qv")), F.col("slot") == F.col("s")).groupBy("query_id", *KEY).agg(F.round(F.sum(F.col("value") * F.col("qv")), 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int | str, order: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:

@@ -1,7 +1,8 @@
 """Retrieval for a batch of routed queries: exact, structured, term-scored, fused and distinct hits.
 
-Joins of queries with documents or chunks are equi-joins on derived keys (a filter's value, three characters of a
-term or name), followed by the full test; neither side is broadcast by hand.
+Joins of queries with documents are equi-joins on derived keys (a filter's value, three characters of a name),
+followed by the full test; terms are looked for in the chunks of a query's allowed documents, or in all chunks by
+blocks of queries.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from ..functions import text as X
 from ..functions import vocab as V
 
 KEY = ["doc_id", "chunk_index"]
-FEW_STARTS = 256
 
 
 def _key(kind: str, value: Column) -> Column:
@@ -73,27 +73,30 @@ def cover_rank(haystack: Column, words: Column) -> Column:
     return F.when(whole, 0.1 / (1 + F.greatest(span - F.size(F.array_distinct(words)), F.lit(0)))).otherwise(0.0)
 
 
-def term_scored(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+def term_scored(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, bound: DataFrame | None = None, block: int = 1024) -> DataFrame:
     """query_id, doc_id, chunk_index, score: 0.8 for a contained term with a digit, 0.18 for another, and the cover rank of the text terms.
 
-    Candidates come by equi-join on the first three characters of each term (shorter terms: all of them) with the
-    substrings of that length of a chunk; then all terms of the query are tested.
+    Queries of `bound` (query_id) see the chunks of their `allowed` documents (query_id, doc_id), by an equi-join; the others go to
+    every chunk in blocks of about `block` queries, so what is broadcast is bounded and no pair moves before it has scored.
     """
     phrase = F.lower(X.normal_search("text"))
     asked = F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.filter(F.array(phrase), lambda x: x != ""))
     q = queries.select("query_id", asked.alias("asked"), "text_terms")
-    qk = q.select("query_id", F.explode(F.array_distinct(F.transform("asked", lambda t: F.substring(t, 1, 3)))).alias("g"))
-    body = F.lower(F.col("search_text"))
-    few = [r["g"] for r in qk.select("g").distinct().limit(FEW_STARTS + 1).collect()]
-    if len(few) <= FEW_STARTS:  # a small batch: test its own starts, at most FEW_STARTS strings, on every chunk
-        have = F.filter(X.words_in(few), lambda g: F.contains(body, g)) if few else F.array().cast("array<string>")
-    else:
-        have = F.concat(_grams(body), F.filter(_grams(body, 2), lambda x: x.rlike(r"\d")), F.filter(_grams(body, 1), lambda x: x.rlike(r"\d")))
-    c = chunks.select(*KEY, F.explode(have).alias("g"))
-    pairs = c.join(qk, "g").select("query_id", *KEY).distinct()
-    rows = pairs.join(chunks.select(*KEY, "search_text"), KEY).join(q, "query_id")
-    hit = F.filter("asked", lambda t: F.contains(F.lower(F.col("search_text")), t))
-    score = F.size(X.numeric(hit)) * 0.8 + F.size(X.textual(hit)) * 0.18 + cover_rank(F.col("search_text"), F.col("text_terms"))
+    c = chunks.select(*KEY, F.lower("search_text").alias("body"))
+    found = lambda terms: F.filter(terms, lambda t: F.contains(F.col("body"), t))
+    free, rows = q, None
+    if bound is not None:
+        free = q.join(bound.select("query_id").distinct(), "query_id", "left_anti")
+        rows = allowed.select("query_id", "doc_id").distinct().join(q, "query_id").join(c, "doc_id").select("query_id", *KEY, "body", "asked", "text_terms")
+    blocks = max(1, -(-free.count() // block))
+    for b in range(blocks):
+        some = free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else free
+        one = some.groupBy().agg(F.collect_list(F.struct("query_id", "asked", "text_terms")).alias("qs"))
+        hit = F.filter("qs", lambda x: F.exists(x["asked"], lambda t: F.contains(F.col("body"), t)))
+        part = c.join(F.broadcast(one), F.lit(True)).select(*KEY, "body", F.explode(hit).alias("q")).select("q.query_id", *KEY, "body", "q.asked", "q.text_terms")
+        rows = part if rows is None else rows.unionByName(part)
+    hit = found(F.col("asked"))
+    score = F.size(X.numeric(hit)) * 0.8 + F.size(X.textual(hit)) * 0.18 + cover_rank(F.col("body"), F.col("text_terms"))
     return rows.where(F.size(hit) > 0).select("query_id", *KEY, F.round(score, 6).alias("score"))
 
 
@@ -126,7 +129,7 @@ def route_weights(plan: DataFrame) -> DataFrame:
 def hydrate(fused: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Hits with snippet, place and the document's columns; of equal results (path, page, section, type, snippet) the best stays."""
     c = chunks.select(*KEY, "page_number", "section", "evidence_type", X.snippet("chunk_text").alias("snippet"))
-    d = docs.select("doc_id", "doc_number", "supplier_name", "doc_type", "doc_date", "amount", "currency", "source_filename", "storage_path")
+    d = docs.select("doc_id", "doc_number", "supplier_name", "doc_type", "doc_date", "amount", "currency", "source_filename", "storage_path", "buyer_name", "po_number", "part_number", "revision", F.array_sort(F.map_entries("extra_fields")).alias("flex_fields"))
     rows = fused.join(c, KEY).join(d, "doc_id")
     w = Window.partitionBy("query_id", "storage_path", "page_number", "section", "evidence_type", "snippet").orderBy(F.desc("score"), *KEY)
     return rows.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k").withColumn("reasons", X.match_reasons(F.col("sources")))

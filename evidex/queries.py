@@ -321,27 +321,48 @@ ROUTE_CASES = ["FM-GST-2026-2001", "find me material code for Seat Foam Cushion"
 ROUTES = ["exact_match", "lexical", "hybrid", "exact_match", "lexical", "hybrid", "lexical", "exact_match", "exact_match", "lexical", "lexical", "hybrid", "lexical", "lexical", "lexical", "lexical"]
 
 
+def first_group_sql(x: str, patterns, flags: str = "(?i)") -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({x}, {lit(flags + p)}, 1), '')" for p in patterns) + ")"
+
+
+MONTH = rf"\b({'|'.join(V.MONTHS)})[a-z]*\s+([0-9]{{4}})\b"
+CUT = f"regexp_replace(regexp_replace(replace(trim({first_group_sql('t', V.QUERY_AMOUNT)}), ',', ''), '(?i)^(?:rs\\.?|inr|₹)\\s*', ''), '^I([0-9])', '\\1')"
+#: Queries q (query_id, text) to rq: filters, terms, route and the route that is run.
+ROUTED = f"""rq0 AS (SELECT query_id, text, coalesce(text, '') AS t, lower(coalesce(text, '')) AS low FROM q),
+rq1 AS (SELECT query_id, text, low, CASE WHEN {any_of('low', ['bill of material', 'bom'])} THEN 'bom' WHEN contains(low, 'invoice') THEN 'invoice' END AS f_doc_type, trim({first_group_sql('t', V.QUERY_NUMBER)}) AS f_doc_number,
+  nullif(regexp_replace(regexp_extract(t, {lit('(?i)' + V.QUERY_SUPPLIER)}, 1), '^[ .?]+|[ .?]+$', '', 'g'), '') AS f_supplier_name, CAST(nullif(list_position({lst(V.MONTHS)}, regexp_extract(low, {lit(MONTH)}, 1)), 0) AS INTEGER) AS f_month,
+  CAST(coalesce(nullif(regexp_extract(low, {lit(MONTH)}, 2), ''), nullif(regexp_extract(low, '\\b(20[0-9]{{2}})\\b', 1), '')) AS INTEGER) AS f_year,
+  CASE WHEN ({any_of('low', V.FILTER_TOTAL)} AND NOT {any_of('low', V.FILTER_ROW)}) OR regexp_matches(t, {lit('(?i)' + V.NUMERIC_ONLY)}) THEN CAST(regexp_extract_all({CUT}, '\\d+(?:\\.\\d+)?')[-1] AS DOUBLE) END AS f_amount,
+  nullif(regexp_extract(upper(t), '\\b([0-9A-Z]{{15}})\\b', 1), '') AS f_gstin, {any_of('low', V.ROUTER_ROW)} AS row_query, {any_of('low', V.ROUTER_TOTAL)} AS total_query, {wc(sq('text'))} <= 8 AS few FROM rq0),
+rq2 AS (SELECT rq1.*, terms, words, list_filter(terms, lambda t: regexp_matches(t, '\\d')) AS nums FROM rq1 JOIN qt USING (query_id)),
+rq3 AS (SELECT *, len(nums) AS n, len(words) AS w, len(nums) > 0 AND (row_query OR total_query OR f_gstin IS NOT NULL OR len(nums) >= 2) AS heavy, coalesce(f_supplier_name, CAST(f_month AS VARCHAR), CAST(f_year AS VARCHAR), CAST(f_amount AS VARCHAR), f_gstin) IS NOT NULL AS specific, coalesce(f_doc_type, f_doc_number) IS NOT NULL AS other FROM rq2),
+rq4 AS (SELECT *, CASE WHEN f_doc_number IS NOT NULL AND few THEN 'exact_match' WHEN row_query OR heavy OR specific OR (other AND w <= 2) THEN 'lexical' WHEN w >= 2 AND n > 0 THEN 'mixed' WHEN w >= 2 THEN 'hybrid' ELSE 'lexical' END AS route FROM rq3),
+rq AS (SELECT *, route IN ('mixed', 'hybrid') AS use_semantic, CASE WHEN route <> 'exact_match' THEN route WHEN w > 0 THEN 'mixed' ELSE 'lexical' END AS run_route FROM rq4)"""
+TERMS = f"""qt0 AS (SELECT query_id, text, list_filter(regexp_extract_all(lower({ns('text')}), '[a-z0-9./-]+'), lambda t: NOT list_contains({lst(V.SEARCH_STOP)}, t) AND (length(t) >= 3 OR regexp_matches(t, '\\d'))) AS ts FROM q),
+qt1 AS (SELECT query_id, text, list_distinct(list_concat(ts, list_filter(flatten(list_transform(ts, lambda t: {variants_sql('t')})), lambda x: length(x) >= 3 OR regexp_matches(x, '\\d')))) AS terms FROM qt0),
+qt AS (SELECT query_id, text, terms, CASE WHEN len(terms) > 0 THEN terms ELSE list_filter([lower({ns('text')})], lambda x: x <> '') END AS asked, list_filter(terms, lambda t: NOT regexp_matches(t, '\\d')) AS words FROM qt1)"""
+ROUTE_BATCH = "q AS (SELECT unnest(range(16)) AS query_id, unnest(" + lst(ROUTE_CASES) + """) AS text UNION ALL SELECT 1000000 + o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'show BOM-' ELSE 'show INV-' END || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') FROM orders
+UNION ALL SELECT 1000000000 + o_orderkey, 'invoice total ' || CAST(CAST(o_totalprice AS DECIMAL(14,2)) AS VARCHAR) || ' from ' || replace(c_name, '#', ' ') || ' in ' || strftime(o_orderdate, '%b %Y') FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 1000 + item_id, 'tell me about ' || text FROM benchmark)"""
+
+
 def route_batch(spark, sf):
-    """Query batch: the cases, then two queries for each benchmark item and each of the orders divisible by 97."""
+    """Query batch: the cases, two queries for each order and one for each benchmark item."""
     cases = spark.createDataFrame([(i, t) for i, t in enumerate(ROUTE_CASES)], "query_id long, text string")
-    o = read_table(spark, sf, "orders").where("o_orderkey % 97 = 0").select((F.col("o_orderkey") + 1_000_000).alias("query_id"), F.concat(F.when(F.col("o_orderkey") % 5 == 0, "show BOM-").otherwise("show INV-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0")).alias("text"))
-    b = read_table(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.concat(F.lit("tell me about "), F.element_at(F.split("text", " "), 1)).alias("text"))
-    return cases.unionByName(o).unionByName(b)
+    o = read_table(spark, sf, "orders").join(read_table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    shown = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "show BOM-").otherwise("show INV-"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0"))
+    asked = F.concat(F.lit("invoice total "), F.col("o_totalprice").cast("decimal(14,2)").cast("string"), F.lit(" from "), F.regexp_replace("c_name", "#", " "), F.lit(" in "), F.date_format("o_orderdate", "MMM yyyy"))
+    b = read_table(spark, sf, "benchmark").select((F.col("item_id") + 1000).alias("query_id"), F.concat(F.lit("tell me about "), "text").alias("text"))
+    return cases.unionByName(o.select((F.col("o_orderkey") + 1_000_000).alias("query_id"), shown.alias("text"))).unionByName(o.select((F.col("o_orderkey") + 1_000_000_000).alias("query_id"), asked.alias("text"))).unionByName(b)
 
 
-@query("SELECT q AS query_id, r AS route FROM (SELECT unnest(range(16)) AS q, unnest(" + lst(ROUTES) + ") AS r) UNION ALL SELECT o_orderkey + 1000000, 'exact_match' FROM orders WHERE o_orderkey % 97 = 0")
+@query(f"WITH {ROUTE_BATCH}, {TERMS}, {ROUTED} SELECT query_id, route, run_route, use_semantic FROM rq")
 def route_queries(spark, sf):
-    return router.routed(route_batch(spark, sf)).where("query_id < 1000 OR query_id >= 1000000").select("query_id", "route")
+    return router.executed(router.routed(route_batch(spark, sf))).select("query_id", "route", "run_route", "use_semantic")
 
 
-FILTER_ROWS = [(0, None, "FM-GST-2026-2001", None, None, 2026, None, None), (4, "invoice", None, "ElectroMart India", 4, 2026, None, None), (7, None, "TF/2026-27/001", None, None, 2026, None, None), (9, None, None, None, None, None, 351655.36, None), (11, "bom", None, None, None, None, None, None),
-               (13, None, None, "operations 4850000", None, None, None, None), (14, "invoice", None, None, None, None, 85000.0, None)]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else lit(v) if isinstance(v, str) else str(v) for v in r) + ")" for r in FILTER_ROWS) + ") t(query_id, f_doc_type, f_doc_number, f_supplier_name, f_month, f_year, f_amount, f_gstin)")
+@query(f"WITH {ROUTE_BATCH}, {TERMS}, {ROUTED} SELECT query_id, f_doc_type, f_doc_number, f_supplier_name, f_month, f_year, f_amount, f_gstin FROM rq")
 def query_filters(spark, sf):
-    wanted = [r[0] for r in FILTER_ROWS]
-    return router.with_filters(route_batch(spark, sf)).where(F.col("query_id").isin(wanted)).select("query_id", *router.FILTERS)
+    return router.with_filters(route_batch(spark, sf)).select("query_id", *router.FILTERS)
 
 
 # ---- retrieval: a small batch of queries against every rendered document or item row ----
@@ -360,9 +381,6 @@ def row_chunks(spark, sf) -> DataFrame:
 
 
 ROW_CHUNKS = f"{RENDERED}, src AS (SELECT doc_id, text FROM rendered), {LINES}, {TABLE_ROWS}, ch AS (SELECT doc_id, pos AS chunk_index, section, chunk_text, lower({ns('chunk_text')}) AS search_text FROM tr)"
-TERMS = f"""qt0 AS (SELECT query_id, text, list_filter(regexp_extract_all(lower({ns('text')}), '[a-z0-9./-]+'), lambda t: NOT list_contains({lst(V.SEARCH_STOP)}, t) AND (length(t) >= 3 OR regexp_matches(t, '\\d'))) AS ts FROM q),
-qt1 AS (SELECT query_id, text, list_distinct(list_concat(ts, list_filter(flatten(list_transform(ts, lambda t: {variants_sql('t')})), lambda x: length(x) >= 3 OR regexp_matches(x, '\\d')))) AS terms FROM qt0),
-qt AS (SELECT query_id, text, terms, CASE WHEN len(terms) > 0 THEN terms ELSE list_filter([lower({ns('text')})], lambda x: x <> '') END AS asked, list_filter(terms, lambda t: NOT regexp_matches(t, '\\d')) AS words FROM qt1)"""
 SCORED = """sc0 AS (SELECT query_id, doc_id, chunk_index, list_filter(asked, lambda t: contains(lower(search_text), t)) AS hit, words, list_transform(words, lambda w: coalesce(list_position(regexp_extract_all(lower(search_text), '[a-z0-9]+'), w), 0)) AS ps FROM qt, ch),
 sc AS (SELECT query_id, doc_id, chunk_index, round(len(list_filter(hit, lambda x: regexp_matches(x, '\\d'))) * 0.8 + len(list_filter(hit, lambda x: NOT regexp_matches(x, '\\d'))) * 0.18
   + CASE WHEN len(words) > 0 AND list_min(ps) > 0 THEN 0.1 / (1 + greatest(list_max(ps) - list_min(ps) + 1 - len(list_distinct(words)), 0)) ELSE 0 END, 6) AS score FROM sc0 WHERE len(hit) > 0)"""
