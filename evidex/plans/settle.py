@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and read back from the session's checkpoint folder (a temporary one of our own only where none is set, as in tests)."""
+    """df, computed once and read back from the session's checkpoint folder (a temporary one only where none is set and the master is local)."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="evidex-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or sc.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="evidex-ckpt-"))
     return df.checkpoint(eager=True)

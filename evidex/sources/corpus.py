@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 CASE_SCHEMA = "name string, query string, query_type string, expected_source_filename string, expected_page int, expected_doc_truth string, expected_snippet_contains array<string>"
 FILE_SCHEMA = T.StructType([T.StructField("path", T.StringType()), T.StructField("modificationTime", T.TimestampType()), T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType())])
@@ -30,9 +31,14 @@ def stored_path(checksum, filename, root: str):
 
 
 def store_files(files: DataFrame, root: str) -> DataFrame:
-    """Write contents once per checksum as Parquet partitions under root and return path, checksum, storage_path."""
+    """Append contents not stored before, once per checksum, as Parquet under root and return path, checksum, storage_path; a second run stores nothing."""
+    spark = files.sparkSession
     once = files.groupBy("checksum").agg(F.first("content").alias("content"), F.first("source_filename").alias("source_filename"))
-    once.write.mode("append").parquet(f"{root}/blobs")
+    try:
+        held = spark.read.parquet(f"{root}/blobs").select("checksum")
+    except AnalysisException:  # the first run
+        held = None
+    (once if held is None else once.join(held, "checksum", "left_anti")).write.mode("append").parquet(f"{root}/blobs")
     return files.select("path", "source_filename", "checksum", stored_path(F.col("checksum"), F.col("source_filename"), root).alias("storage_path"))
 
 

@@ -128,6 +128,7 @@ def test_files_and_inbox(spark, tmp_path):
     p = corpus.extract_pages(f)
     assert p.count() == 4 and ingest.status_of(corpus.extract_pages(f, lambda b: 1 / 0)).where("status = 'failed'").count() == 2
     stored = corpus.store_files(f, str(tmp_path / "st")).collect()
+    corpus.store_files(f, str(tmp_path / "st"))
     assert stored[0].storage_path.endswith(".pdf") and spark.read.parquet(str(tmp_path / "st/blobs")).count() == 1
     for _ in range(2):
         inbox.run_inbox(spark, str(box), str(tmp_path / "t"), str(tmp_path / "cp"))
