@@ -214,6 +214,24 @@ def test_compact(docs, empty):
     assert compact.near_passages(empty).count() == 0
 
 
+def test_compact_runs(spark):
+    """Passages in and beside runs of one word, of two words by turns, and passages of another length inside longer runs."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    tail = fresh(30)
+    texts = [fresh(30) + ["ha"] * 70 + fresh(30), fresh(5) + ["ha"] * 55 + fresh(60), fresh(40) + ["ha"] * 49 + fresh(30), fresh(10) + ["ha"] * 20 + tail + fresh(9), ["ha"] * 300 + tail + fresh(9), fresh(7) + ["ho", "hu"] * 40 + fresh(30), fresh(20) + ["hu", "ho"] * 26 + fresh(8), ["ho", "hu"] * 10 + fresh(60)]
+    rows = list(enumerate(" ".join(t) for t in texts))
+    owners = {}
+    for i, w in enumerate(texts):
+        for k in range(len(w) - 49):
+            owners.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {(a, b) for o in owners.values() for a in o for b in o if a != b}
+    got = compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.match_id) for r in got}
+    up = components(range(len(texts)), lambda i, j: any((r.doc_id, r.match_id) == (i, j) for r in got))
+    assert all(r.group_id == up[r.doc_id] for r in got)
+
+
 def common_phrase_pairs(pairs=40):
     """Texts that all hold one phrase of 30 words; document i and i + pairs also share the 30 words around it. Ids of a pair are far apart."""
     rng = random.Random(6)
