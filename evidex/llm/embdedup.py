@@ -1,6 +1,7 @@
 """Embedding near-duplicates by product quantisation.
 
-An inverted file with residual codes is fitted on a bounded sample (SAMPLE vectors of smallest hash); every
+An inverted file with residual codes, a list for every PER_LIST vectors up to MAX_LISTS, is fitted on a bounded sample (8 vectors
+a list, LEAST_SAMPLE to SAMPLE, of smallest hash); every
 vector is indexed in its nearest list and looks into its PROBES nearest lists. A cell is one block of a
 list's residents and one block of its visitors, so a list with a third of all vectors is dealt over many
 tasks. In a cell, asymmetric table lookups give each visitor's distance to every resident's code; with the
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 from .graph import connected_components
 
-COSINE, PROBES, PER_LIST, MAX_LISTS, SAMPLE = 0.9, 12, 256, 16384, 32768
+COSINE, PROBES, PER_LIST, MAX_LISTS, SAMPLE, LEAST_SAMPLE = 0.9, 12, 256, 16384, 131072, 16384
 SUBSPACES, CODES = 16, 256
 RESIDENTS, VISITORS = 2048, 8192
 
@@ -87,6 +88,12 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, dim) if len(col) else np.zeros((0, dim))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, exactly, so that squares of their components neither vanish nor overflow; cosines stay."""
+    top = np.abs(x).max(1, initial=0.0)
+    return np.ldexp(x, -np.frexp(top)[1][:, None])
+
+
 def _padded(lists: list, dim: int) -> np.ndarray:
     out = np.zeros((len(lists), dim))
     for i, x in enumerate(lists):
@@ -94,6 +101,11 @@ def _padded(lists: list, dim: int) -> np.ndarray:
     return out
 
 
+def _vectors(lists: pa.Array) -> list[np.ndarray]:
+    o = lists.offsets.to_numpy()
+    return np.split(lists.values.to_numpy(zero_copy_only=False)[o[0] : o[-1]], o[1:-1] - o[0]) if len(lists) else []
+
+
 def classes(vectors: DataFrame) -> DataFrame:
     """x (array of double), rep (smallest vec_id), m (number of ids) per distinct vector that takes part."""
     fine = F.forall("x", lambda e: F.coalesce(F.abs(e) < float("inf"), F.lit(False))) & F.exists("x", lambda e: e != 0)
@@ -169,14 +181,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, probes: int = PR
     if not size["n"]:
         return all_ids.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     dim = size["d"]
-    fit = _padded([list(r["x"]) for r in cls.select("x", F.xxhash64(F.lit(29), "rep").alias("h")).orderBy("h").limit(sample).select("x").collect()], dim)
-    index = Index(fit / np.sqrt((fit * fit).sum(1))[:, None], max(1, min(max_lists, size["n"] // per_list, len(fit) // 8)))
+    lists = max(1, min(max_lists, size["n"] // per_list))
+    few = cls.select("x", F.xxhash64(F.lit(29), "rep").alias("h")).orderBy("h").limit(min(sample, max(LEAST_SAMPLE, 8 * lists))).select("x").toArrow()
+    fit = _scaled(_padded([v for c in few.column("x").chunks for v in _vectors(c)], dim))
+    index = Index(fit / np.sqrt((fit * fit).sum(1))[:, None], min(lists, max(1, len(fit) // 8)))
 
     def encode(batches):
         for b in batches:
             for s in range(0, b.num_rows, 2048):
                 c = b.slice(s, 2048)
-                raw = _padded(c.column("x").to_pylist(), dim)
+                raw = _scaled(_padded(_vectors(c.column("x")), dim))
                 near, codes, error = index.encode(raw / np.sqrt((raw * raw).sum(1))[:, None], probes)
                 yield pa.RecordBatch.from_pydict({"rep": c.column("rep"), "m": c.column("m"), "vec": pa.array([x.tobytes() for x in raw], pa.binary()), "probes": pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32())), "codes": pa.array([x.tobytes() for x in codes], pa.binary()), "error": pa.array(error, pa.float64())})
 

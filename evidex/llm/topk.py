@@ -1,10 +1,10 @@
 """Exact top-k inner-product search by term-at-a-time accumulation over blocks.
 
-Rows are cut into blocks of bounded size. Every (query block, row block) pair meets in one task, dealt by
-a salted key, so no table is broadcast and no task holds more than one pair of blocks at a time. In a
-pair, each term (vector component) has a posting list of the rows where its weight isn't 0; a query's
-weight times the postings is scattered into the query's dense score array. Each pair gives its k best
-rows of each query; a window merges them.
+Rows are dealt evenly to cells, as many as the data's size asks for; a cell's rows are blocks of bounded size.
+Every query block goes to every cell once, so no table is broadcast; a task holds its cell's rows and one query
+block at a time. For each row block the posting lists are built once: of each term (vector component) the rows where
+its weight isn't 0. A query's weight times the postings is scattered into the query's dense score array. Each
+pair of blocks gives its k best rows of each query; a window merges them.
 
 Edge cases: null vectors and vectors with null or non-finite components take no part, neither as queries
 nor as candidates; a vector of other length counts as padded with zeros; a null vec_id takes no part; rows with a query's
@@ -17,11 +17,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-SCALE, QUERY_EVERY, K = 1024, 100, 10
+from .common import input_bytes, shuffle_parts
+
+SCALE, QUERY_EVERY, K, CELL_BYTES = 1024, 100, 10, 16 << 20
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
@@ -46,9 +49,10 @@ def _dense(lists: pa.Array) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """One row per block: ids (int64 bytes), weights (int64 bytes, row by row), width and a block number unique in the partition."""
+    """One row per block: cell (number of the partition), ids (int64 bytes), w (int64 bytes, row by row), width."""
 
     def pack(batches):
+        cell = TaskContext.get().partitionId()
         held: list = []
         n = 0
 
@@ -62,8 +66,7 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
                 at += len(a)
             for s in range(0, len(ids), size):
                 a, m = ids[s : s + size], mat[s : s + size]
-                key = int(a[0] * 2654435761 % 2147483647)
-                yield pa.RecordBatch.from_pydict({"salt": pa.array([key], pa.int64()), "ids": pa.array([a.tobytes()], pa.binary()), "w": pa.array([np.ascontiguousarray(m).tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "ids": pa.array([a.tobytes()], pa.binary()), "w": pa.array([np.ascontiguousarray(m).tobytes()], pa.binary()), "width": pa.array([width], pa.int32())})
 
         for b in batches:
             if b.num_rows:
@@ -75,23 +78,28 @@ def blocks(rows: DataFrame, size: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return rows.mapInArrow(pack, "salt long, ids binary, w binary, width int")
+    return rows.mapInArrow(pack, "cell int, ids binary, w binary, width int")
 
 
-def accumulate(q: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Scores of queries (rows of q) against rows of w, term by term."""
-    scores = np.zeros((len(q), len(w)), np.int64)
-    for t in range(min(q.shape[1], w.shape[1])):
+def postings(w: np.ndarray) -> list[tuple[np.ndarray | None, np.ndarray]]:
+    """Of every term, the rows of w with a weight and their weights; None for the rows if all have one."""
+    out = []
+    for t in range(w.shape[1]):
         post = np.flatnonzero(w[:, t])
-        ask = np.flatnonzero(q[:, t])
-        if not len(post) or not len(ask):
+        out.append((None, np.ascontiguousarray(w[:, t])) if len(post) == len(w) else (post, w[post, t]))
+    return out
+
+
+def accumulate(q: np.ndarray, lists: list[tuple[np.ndarray | None, np.ndarray]], n: int) -> np.ndarray:
+    """Scores of queries (rows of q) against n rows with these postings, term by term."""
+    scores = np.zeros((len(q), n), np.int64)
+    for t, (post, weights) in enumerate(lists[: q.shape[1]]):
+        if not len(weights):
             continue
-        if len(post) == len(w):
-            for i in ask:
-                scores[i] += q[i, t] * w[:, t]
-        else:
-            weights = w[post, t]
-            for i in ask:
+        for i in np.flatnonzero(q[:, t]):
+            if post is None:
+                scores[i] += q[i, t] * weights
+            else:
                 scores[i, post] += q[i, t] * weights
     return scores
 
@@ -109,42 +117,38 @@ def best(scores: np.ndarray, ids: np.ndarray, own: int, k: int) -> tuple[np.ndar
 
 def search(queries: DataFrame, rows: DataFrame, k: int = K, query_block: int = 4096, row_block: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of every query; both sides as quantised() gives them."""
-    spark = rows.sparkSession
     q = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    qb = blocks(q.repartition(max(1, min(parts, -(-_bytes(queries) // (query_block * 512)))), "vec_id"), query_block).select("salt", F.col("ids").alias("q_ids"), F.col("w").alias("q_w"), F.col("width").alias("q_width"))
-    # every query block goes to every salt once; a row block to the one salt it has
-    cells = qb.select("q_ids", "q_w", "q_width", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"))
-    rb = blocks(rows.repartition(parts, "vec_id"), row_block).select(F.pmod("salt", F.lit(parts)).cast("int").alias("r_cell"), "ids", "w", "width")
+    parts = shuffle_parts(rows, CELL_BYTES)
+    qb = blocks(q.repartition(max(1, min(parts, -(-input_bytes(queries) // (query_block * 512)))), "vec_id"), query_block)
+    asked = qb.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("cell"), F.lit(1).alias("asks"), "ids", "w", "width")
+    rb = blocks(rows.repartition(parts, "vec_id"), row_block).select("cell", F.lit(0).alias("asks"), "ids", "w", "width")
+    dealt = rb.unionByName(asked).repartitionById(parts, F.col("cell")).sortWithinPartitions("asks")
 
     def score(batches):
+        held: list = []
         for b in batches:
             for x in b.to_pylist():
-                qi, ri = np.frombuffer(x["q_ids"], np.int64), np.frombuffer(x["ids"], np.int64)
-                qw, rw = np.frombuffer(x["q_w"], np.int64).reshape(len(qi), x["q_width"]), np.frombuffer(x["w"], np.int64).reshape(len(ri), x["width"])
-                rw = np.asfortranarray(rw)
-                out: list = [[], [], []]
-                for s in range(0, len(qi), 32):
-                    sc = accumulate(qw[s : s + 32], rw)
-                    for j, own in enumerate(qi[s : s + 32]):
-                        a, v = best(sc[j], ri, own, k)
-                        out[0].append(np.full(len(a), own))
-                        out[1].append(a)
-                        out[2].append(v)
-                if out[0]:
+                ids = np.frombuffer(x["ids"], np.int64)
+                weights = np.frombuffer(x["w"], np.int64).reshape(len(ids), x["width"])
+                if not x["asks"]:
+                    held.append((ids, postings(np.asfortranarray(weights))))
+                    continue
+                for ri, lists in held:
+                    out: list = [[], [], []]
+                    for s in range(0, len(ids), 32):
+                        sc = accumulate(weights[s : s + 32], lists, len(ri))
+                        for j, own in enumerate(ids[s : s + 32]):
+                            a, v = best(sc[j], ri, own, k)
+                            out[0].append(np.full(len(a), own))
+                            out[1].append(a)
+                            out[2].append(v)
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["query_id", "vec_id", "score"])
 
-    top = cells.join(rb, F.col("cell") == F.col("r_cell")).select("q_ids", "q_w", "q_width", "ids", "w", "width").mapInArrow(score, "query_id long, vec_id long, score long")
+    top = dealt.mapInArrow(score, "query_id long, vec_id long, score long")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return top.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _bytes(df: DataFrame) -> int:
-    from .common import input_bytes
-
-    return input_bytes(df)
-
-
 def op1(spark, sf_dir: str) -> DataFrame:
     from .common import table
 

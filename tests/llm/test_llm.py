@@ -511,6 +511,35 @@ def test_embeddings(spark):
     assert embdedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_embeddings_many_lists(spark):
+    """Recall where 12 of 150 lists are probed; components so small or large that their squares vanish or overflow void nothing."""
+    rng = np.random.default_rng(3)
+    centre = rng.standard_normal((750, 16))
+    x = np.repeat(centre, 4, 0) + 0.08 * rng.standard_normal((3000, 16))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5000, [1e-200] * 16), (5001, [2e-200] * 16), (5002, [1e200] * 16), (5003, [5e-324] * 16), (None, [1.0] * 16)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("n_links", F.lit("clash"))
+    got = {r.vec_id: r for r in embdedup.near_duplicates(d, per_list=20).collect()}
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    links = (unit @ unit.T >= 0.9).sum(1) - 1
+    found = np.array([got[i].n_links for i in range(3000)])
+    ones = np.ones(16) / 4
+    to_ones = (unit @ ones >= 0.9).any()
+    assert (found <= links + 4 * to_ones).all() and found.sum() >= 0.97 * links.sum() > 3000
+    assert all(got[i].component_id == 5000 and got[i].n_links == 3 for i in range(5000, 5004)) or to_ones
+    assert got[None].kept and got[None].component_id is None and len(got) == 3005
+
+
+def test_topk_edges(spark):
+    """Null ids, clashing columns, more cells than rows; the cells are all dealt to partitions of their own."""
+    d = spark.createDataFrame([(0, [1.0, 0.0]), (100, [0.5, 0.5]), (None, [1.0, 1.0]), (3, [1.0, None]), (4, None)], "vec_id long, embedding array<double>").withColumns({"v": F.lit(1), "cell": F.lit(2), "score": F.lit("x")})
+    q = topk.quantised(d)
+    got = [tuple(r) for r in topk.search(q.where("vec_id % 100 = 0"), q).orderBy("query_id").collect()]
+    assert got == [(0, 1, 100, 1024 * 512), (100, 1, 0, 1024 * 512)]
+    many = spark.range(400).selectExpr("id AS vec_id", "array(id, 1L, id % 7) AS v")
+    some = topk.blocks(many.repartition(8, "vec_id"), 20)
+    assert some.select("cell").distinct().count() == 8 and some.repartitionById(8, F.col("cell")).select(F.spark_partition_id().alias("p"), "cell").where("p = cell").count() == some.count()
+
+
 def test_topk(spark):
     rows = vectors(300, 8) + [(1000, [0.5] * 8), (1001, [0.5] * 8), (1100, [0.25] * 8), (1200, [0.0] * 8)]
     d = spark.createDataFrame([r for r in rows if r[0] != 7][:-1] + [rows[-1]], "vec_id long, embedding array<float>")
