@@ -428,7 +428,7 @@ def multi_field_topk(spark, sf):
     d = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat_ws(" ", "p_name", "p_type").alias("search_text"), F.col("p_type").alias("chunk_text"), F.col("p_brand").alias("section"), F.lower("p_brand").alias("doc_number"), F.col("p_name").alias("supplier_name"))
     own = d.where("doc_id % 20 = 0")
     q = own.select(F.col("doc_id").alias("query_id"), F.col("supplier_name").alias("text")).unionByName(own.select((-1 - F.col("doc_id")).alias("query_id"), F.col("doc_number").alias("text")))
-    return index.top_k(index.bm25(d, q), 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+    return index.top_k(index.bm25(d, q).withColumn("score", F.round("score", 6)), 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
 HASHED = """hv AS (WITH t AS (SELECT id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS h FROM hsrc),
