@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,18 +89,70 @@ def top_k(scored: DataFrame, k: int | str, order: tuple[str, ...] = ("doc_id", "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 1024) -> DataFrame:
-    """query_id, vec_id, score, rank by exact cosine. queries (query_id, q) go to all tasks in blocks of about `block` rows; each block is cut to its k best before the next.
-
-    most_queries, if given, refuses more queries than that.
+def _units(lists, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of an Arrow list column scaled to length 1 (zeros where null, zero, or with null or non-finite components), and their sizes (-1: null)."""
+    sizes = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False)
+    size = int(max(sizes, default=0)) if size is None else size
+    m = np.zeros((len(lists), max(size, 0)))
+    for n in np.unique(sizes[(sizes > 0) & (sizes <= size)]):
+        rows = lists.filter(pa.array(sizes == n))
+        m[sizes == n, :n] = rows.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), n)
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt((m * m).sum(axis=1))
+    good = np.isfinite(norms) & (norms > 0)
+    m[~good], norms[~good] = 0.0, 1.0
+    return m / norms[:, None], sizes
+
+
+def _scorer(ids: list, query_type: pa.DataType, vectors: pa.Array, k: int, rows: int = 2048):
+    """A mapInArrow function: the k best (query_id, vec_id, score) of a partition for every query, ties to the smaller vec_id."""
+    q, q_sizes = _units(vectors)
+
+    def run(batches):
+        score, vec = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                v = part.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(v, kind="stable")
+                u, sizes = _units(part.column(1).take(pa.array(order)), q.shape[1])
+                s = np.rint(q @ u.T * 1e6).astype(np.int64)
+                if len(set(sizes.tolist()) | set(q_sizes.tolist())) > 1:
+                    s[q_sizes[:, None] != sizes[None, :]] = 0
+                key = (s << 32) - np.arange(len(v))  # by score, then by vec_id
+                best = np.argpartition(key, len(v) - min(k, len(v)), axis=1)[:, -min(k, len(v)) :]
+                score, vec = np.hstack([score, np.take_along_axis(s, best, 1)]), np.hstack([vec, v[order][best]])
+                keep = np.lexsort((vec, -score), axis=1)[:, :k]
+                score, vec = np.take_along_axis(score, keep, 1), np.take_along_axis(vec, keep, 1)
+        n = score.shape[1]
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(ids, query_type).take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(vec.ravel()), pa.array(score.ravel() / 1e6)], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 1024, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, vec_id (long), score, rank by exact cosine to 6 places, ties to the smaller vec_id.
+
+    queries (query_id, q) go to the tasks in blocks of about `block` rows: a task multiplies a batch of vectors by a block and
+    keeps k rows a query, so k rows a query and partition are shuffled, not all scores. A score is 0 where a vector or query is
+    null, zero, of another length, or holds null or non-finite components. most_queries, if given, refuses more queries than
+    that. allowed (query_id, vec_id): only these pairs are scored, by equi-joins. Rows without a vec_id take no part.
     """
     if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} query vectors: search them in batches")
+    rows = vectors.select("vec_id", "embedding").where("vec_id IS NOT NULL")
+    if allowed is not None:
+        pairs = allowed.select("query_id", "vec_id").distinct().join(queries.select("query_id", "q"), "query_id").join(rows, "vec_id")
+        return top_k(pairs.select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k, ("vec_id",))
     blocks = max(1, -(-queries.count() // block))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id long, score double"
     out = None
     for b in range(blocks):
         some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        rows = vectors.select("vec_id", "embedding").join(F.broadcast(some), F.lit(True))
-        best = top_k(rows.select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k, ("vec_id",))
+        held = some.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow().combine_chunks()
+        ids, q = held.column("query_id").combine_chunks(), held.column("q").combine_chunks()
+        best = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_scorer(ids.to_pylist(), ids.type, q, k), schema)
+        best = top_k(best, k, ("vec_id",))
         out = best if out is None else out.unionByName(best)
     return out
