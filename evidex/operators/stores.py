@@ -32,6 +32,11 @@ def find_duplicates(docs: DataFrame) -> DataFrame:
     return docs.groupBy("checksum").agg(F.max_by("doc_id", F.struct("created_at", "doc_id")).alias("doc_id"), F.count("*").alias("copies")).where("copies > 1")
 
 
+def get_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs that ids (doc_id) ask for, once each."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def next_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """incoming (doc_id, doc_number, source_filename) with version: one more than the largest of rows with its number or its file name."""
     by = lambda c: stored.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.max("version").alias(f"_v_{c}"))

@@ -291,6 +291,29 @@ def duplicate_docs(spark, sf):
     return stores.find_duplicates(read_table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), F.lit(0).alias("created_at")))
 
 
+@query(f"WITH {RENDERED} SELECT doc_id, doc_number, supplier_name, buyer_name, item_count FROM rendered WHERE doc_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
+def get_documents(spark, sf):
+    """Documents with a returned item, asked for once per such item."""
+    asked = read_table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("doc_id"))
+    return stores.get_documents(rendered(spark, sf), asked).select("doc_id", "doc_number", "supplier_name", "buyer_name", F.col("item_count").cast("long").alias("item_count"))
+
+
+@query("""WITH f AS (SELECT doc_id AS n, 'in/' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path, sha256(text) AS checksum FROM documents),
+h AS (SELECT sha256(text) AS checksum, max(doc_id) AS held, arg_max(CASE doc_id % 3 WHEN 0 THEN 'failed' WHEN 1 THEN 'processed' ELSE 'partial' END, doc_id) AS st FROM documents WHERE n_chars > 1000 GROUP BY 1),
+one AS (SELECT checksum, min(path) AS first FROM f GROUP BY 1), both_ways AS (SELECT unnest([false, true]) AS force),
+a AS (SELECT n, path, held, force, CASE WHEN (st = 'processed' AND NOT force) OR path <> first THEN 'duplicate' WHEN held IS NOT NULL AND force THEN 'replace' ELSE 'new' END AS action FROM f LEFT JOIN h USING (checksum) LEFT JOIN one USING (checksum) CROSS JOIN both_ways)
+SELECT path, force, action, CASE WHEN action <> 'new' THEN held END AS doc_id, CASE WHEN action = 'duplicate' THEN 'duplicate' WHEN n % 11 = 0 THEN 'failed' WHEN n % 5 <> 0 AND n % 13 <> 0 THEN 'processed' ELSE 'partial' END AS status FROM a""")
+def ingest_states(spark, sf):
+    """All documents as files of a run, where those over 1,000 characters were stored before in one of three states; without and with force."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), "n_chars")
+    path = F.concat(F.lit("in/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("path")
+    k = F.col("doc_id") % 3
+    stored = d.where("n_chars > 1000").select("doc_id", "checksum", F.when(k == 0, "failed").when(k == 1, "processed").otherwise("partial").alias("status"), F.col("doc_id").alias("created_at"))
+    results = d.select(path, (F.col("doc_id") % 11 == 0).alias("failed"), F.lit("unreadable").alias("error_message"), (F.col("doc_id") % 5 != 0).alias("vector_ready"), (F.col("doc_id") % 13 != 0).alias("keyword_ready"))
+    both = [ingest.outcomes(ingest.planned(d.select(path, "checksum"), stored, f), results).select("path", F.lit(f).alias("force"), "action", "doc_id", "status") for f in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query("SELECT k AS doc_id, max(doc_id) AS v FROM (SELECT doc_id, doc_id % 100 AS k FROM documents) GROUP BY 1")
 def upsert_latest(spark, sf):
     d = read_table(spark, sf, "documents").select((F.col("doc_id") % 100).alias("doc_id"), F.col("doc_id").alias("v"), F.col("doc_id").alias("updated_at"))
@@ -458,6 +481,15 @@ def vector_topk(spark, sf):
 QUERIES["vector_topk_all"], SQL["vector_topk_all"] = QUERIES["vector_topk"], SQL["vector_topk"]  # the name it had
 
 
+@query("WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings JOIN q ON vec_id BETWEEN query_id - 25 AND query_id + 25), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 10")
+def vector_topk_allowed(spark, sf):
+    """The same queries, each among the vectors whose ids are at most 25 away."""
+    e = read_table(spark, sf, "embeddings")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    near = q.select("query_id", F.explode(F.sequence(F.col("query_id") - 25, F.col("query_id") + 25)).alias("vec_id"))
+    return index.vector_top_k(e, q, 10, allowed=near)
+
+
 def truth_docs(spark, sf) -> DataFrame:
     """Rendered documents with their metadata and file names."""
     m = fields.metadata(rendered(spark, sf).select("doc_id", "page_number", "text"))
@@ -715,6 +747,21 @@ def passed_documents(spark, sf):
     return evaluate.documents_passed(extracted_pairs(spark, sf))
 
 
+@query(f"""WITH {RENDERED}, {PAIRS}, f AS (SELECT doc_id, count(*) AS fc, sum(ok) AS fp FROM ok GROUP BY 1),
+d AS (SELECT r.supplier_name, fc, fp, CASE WHEN bom AND doc_id % 7 <> 0 THEN 1 + 3 * item_count ELSE 1 END AS ic, CASE WHEN NOT bom THEN 1 WHEN doc_id % 7 = 0 THEN 0 ELSE 1 + 3 * item_count - CASE WHEN doc_id % 3 = 0 AND item_count >= 2 THEN 1 ELSE 0 END END AS ip FROM rendered r JOIN f USING (doc_id)),
+s AS (SELECT supplier_name, count(*) AS documents, CAST(sum(CASE WHEN fc = fp AND ic = ip THEN 1 ELSE 0 END) AS BIGINT) AS passed_documents, CAST(sum(fc) AS BIGINT) AS field_checks, CAST(sum(fp) AS BIGINT) AS passed_field_checks, CAST(sum(ic) AS BIGINT) AS line_item_checks, CAST(sum(ip) AS BIGINT) AS passed_line_item_checks FROM d GROUP BY GROUPING SETS ((supplier_name), ()))
+SELECT *, round(passed_documents / documents, 4) AS document_accuracy, round(passed_field_checks / field_checks, 4) AS field_accuracy, round(passed_line_item_checks / line_item_checks, 4) AS line_item_accuracy FROM s""")
+def extraction_report(spark, sf):
+    """Fields of all rendered documents and line items of their bills of material; one expected item is left out, or one quantity wrong, in some."""
+    truth, names = rendered(spark, sf), ["part_number", "description", "quantity"]
+    got = items.line_items(truth.where("layout = 'bom'").select("doc_id", "text"))
+    w = Window.partitionBy("doc_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    lines = read_table(spark, sf, "lineitem").where("l_orderkey % 5 = 0").join(read_table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).withColumn("doc_id", F.col("l_orderkey")).withColumn("row_no", F.row_number().over(w))
+    wrong = F.when((F.col("doc_id") % 3 == 0) & (F.col("row_no") == 2), 1).otherwise(0)
+    want = lines.where("NOT (doc_id % 7 = 0 AND row_no = 1)").select("doc_id", "row_no", F.concat(F.lit("P-"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("part_number"), F.col("p_name").alias("description"), (F.col("l_quantity").cast("long") + wrong).alias("quantity"))
+    return evaluate.extraction_report(extracted_pairs(spark, sf), evaluate.item_pairs(truth, want, got, names))
+
+
 @query("SELECT CASE event_id % 4 WHEN 0 THEN 'processed' WHEN 1 THEN 'duplicate' WHEN 2 THEN 'partial' ELSE 'failed' END AS status, count(*) AS files FROM events GROUP BY 1")
 def ingest_summary(spark, sf):
     k = F.col("event_id") % 4

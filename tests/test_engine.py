@@ -185,3 +185,41 @@ def test_vector_blocks(spark):
     assert len(got) == 240 and got == key(index.vector_top_k(e, q, 4))
     many = spark.range(1100).selectExpr("id AS query_id", "array(1.0F, CAST(id AS FLOAT), 2.0F) AS q")
     assert index.vector_top_k(e, many, 2).count() == 2200
+
+
+def test_vector_odd_rows(spark):
+    """Ties go to the smaller id; null, zero, short and non-finite vectors score 0; pairs can be restricted."""
+    nan = float("nan")
+    rows = [(7, [1.0, 0.0]), (3, [2.0, 0.0]), (5, [0.0, 1.0]), (1, None), (2, [0.0, 0.0]), (4, [1.0]), (6, [nan, 1.0]), (8, [None, 1.0]), (9, [-1.0, 0.0]), (None, [1.0, 0.0]), (10, [])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([("a", [3.0, 0.0]), ("b", None), ("c", [5.0])], "query_id string, q array<float>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in index.vector_top_k(e.repartition(3), q, 20).collect()}
+    assert [got["a", i] for i in range(1, 11)] == [(3, 1.0), (7, 1.0), (1, 0.0), (2, 0.0), (4, 0.0), (5, 0.0), (6, 0.0), (8, 0.0), (10, 0.0), (9, -1.0)]
+    assert {got["b", i] for i in range(1, 11)} == {(v, 0.0) for v in range(1, 11)} and got["c", 1] == (4, 1.0) and len(got) == 30
+    assert index.vector_top_k(e.limit(0), q, 2).count() == 0 and index.vector_top_k(e, q.limit(0), 2).count() == 0
+    allowed = spark.createDataFrame([("a", 5), ("a", 9), ("a", 9), ("z", 3)], "query_id string, vec_id long")
+    assert sorted((r.vec_id, r.score) for r in index.vector_top_k(e, q, 5, allowed=allowed).collect()) == [(5, 0.0), (9, -1.0)]
+
+
+def test_ingest_states(spark):
+    files = spark.createDataFrame([("a", "c1"), ("b", "c1"), ("c", "c2"), ("d", "c3"), ("e", "c4"), ("f", None), ("g", None)], "path string, checksum string")
+    stored = spark.createDataFrame([(1, "c2", "failed", 1), (2, "c2", "processed", 2), (3, "c3", "processed", 1), (4, "c3", "failed", 2), (5, "c9", "processed", 1)], "doc_id long, checksum string, status string, created_at long")
+    results = spark.createDataFrame([("a", False, None, True, True), ("c", False, None, True, False), ("d", True, "bad", None, None), ("f", False, "ignored", True, None)], "path string, failed boolean, error_message string, vector_ready boolean, keyword_ready boolean")
+    got = {r.path: (r.action, r.doc_id, r.status, r.error_message) for r in ingest.outcomes(ingest.planned(files, stored), results).collect()}
+    assert got == {"a": ("new", None, "processed", None), "b": ("duplicate", None, "duplicate", None), "c": ("duplicate", 2, "duplicate", None), "d": ("new", None, "failed", "bad"), "e": ("new", None, "failed", None), "f": ("new", None, "partial", None), "g": ("new", None, "failed", None)}
+    got = {r.path: (r.action, r.doc_id, r.status) for r in ingest.outcomes(ingest.planned(files, stored, force=True), results).collect()}
+    assert got["b"] == ("duplicate", None, "duplicate") and got["c"] == ("replace", 2, "partial") and got["d"] == ("replace", 4, "failed")
+    assert ingest.planned(files.limit(0), stored).count() == 0 and {r.action for r in ingest.planned(files, stored.limit(0)).collect()} == {"new", "duplicate"}
+
+
+def test_item_accuracy(spark):
+    docs = spark.createDataFrame([(1, "x"), (2, "x"), (3, None), (4, None)], "doc_id long, supplier_name string")
+    form = "doc_id long, row_no int, part_number string, quantity double"
+    want = spark.createDataFrame([(1, 1, "A-1", 2.0), (1, 2, "A-2", None), (2, 1, "B", 1.0), (3, 1, "C", 1.0)], form)
+    got = spark.createDataFrame([(1, 1, "a-1 ", 2.00001), (1, 2, "A-3", 5.0), (2, 1, "B", 1.0), (2, 2, "B", 1.0), (3, 1, "C", 1.0)], form)
+    pairs = evaluate.item_pairs(docs, want, got, ["part_number", "quantity"])
+    assert sorted((r.doc_id, r.field) for r in pairs.collect()) == [(1, "line_item_count"), (1, "line_items[0].part_number"), (1, "line_items[0].quantity"), (1, "line_items[1].part_number"), (2, "line_item_count"), (3, "line_item_count"), (3, "line_items[0].part_number"), (3, "line_items[0].quantity"), (4, "line_item_count")]
+    fields_of = spark.createDataFrame([(1, "x", "doc_type", "bom", "BOM"), (3, None, "doc_type", "bom", "bom"), (3, None, "amount", "1", "2")], "doc_id long, supplier_name string, field string, expected string, actual string")
+    r = {r.supplier_name: r for r in evaluate.extraction_report(fields_of, pairs).collect()}
+    assert (r[None].documents, r[None].passed_documents, r[None].field_checks, r[None].passed_field_checks, r[None].line_item_checks, r[None].passed_line_item_checks) == (4, 1, 3, 2, 9, 7)
+    assert r["unknown"].document_accuracy == 0.5 and r["x"].line_item_accuracy == 0.6 and r["unknown"].field_accuracy == 0.5
