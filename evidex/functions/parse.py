@@ -10,9 +10,9 @@ from .text import _c, contains_any, squeeze
 
 
 def parse_date(c: Column | str) -> Column:
-    """First format that fits; null if none."""
-    v = F.trim(_c(c))
-    return F.coalesce(*[F.try_to_timestamp(v, F.lit(f)).cast("date") for f in V.DATE_FORMATS])
+    """First format that fits; null if none. The value goes through a list of one, so that it is computed once, not per format."""
+    fit = lambda v: F.coalesce(*[F.try_to_timestamp(v, F.lit(f)).cast("date") for f in V.DATE_FORMATS])
+    return F.get(F.transform(F.array(F.trim(_c(c))), fit), F.lit(0))
 
 
 def parse_amount(c: Column | str) -> Column:

@@ -10,6 +10,10 @@ from . import vocab as V
 #: White space as Python's str.split() sees it; usable in Java and RE2.
 WS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+#: The same for Java only: printable ASCII, most of all text, is refused by its first test.
+_WS, _END = f"[[^!-~]&&{WS}]", LINE_END.replace("[", "[[^ -~]&&[") + "]"
+#: White space runs that aren't one plain space already.
+_RUN = f"[[^ -~]&&{WS}]{_WS}*| {_WS}+"
 
 
 def _c(c: Column | str) -> Column:
@@ -22,12 +26,12 @@ def words_in(values: list[str]) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """White space runs become one space; none at the ends; null is empty."""
-    return F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), WS + "+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(_c(c), F.lit("")), _RUN, " "))
 
 
 def clean_lines(c: Column | str) -> Column:
     """Array of squeezed, non-empty lines."""
-    lines = F.split(F.regexp_replace(F.coalesce(_c(c), F.lit("")), "\\x00", " "), LINE_END)
+    lines = F.split(F.regexp_replace(F.coalesce(_c(c), F.lit("")), "\\x00", " "), _END)
     return F.filter(F.transform(lines, squeeze), lambda x: x != "")
 
 
@@ -42,7 +46,7 @@ def normal_name(c: Column | str) -> Column:
 
 def normal_search(c: Column | str) -> Column:
     """Commas out, digits separated by white space joined, squeezed."""
-    return squeeze(F.regexp_replace(F.regexp_replace(F.coalesce(_c(c), F.lit("")), ",", ""), rf"(?<=\d){WS}+(?=\d)", ""))
+    return squeeze(F.regexp_replace(F.regexp_replace(F.coalesce(_c(c), F.lit("")), ",", ""), rf"(?<=\d){_WS}+(?=\d)", ""))
 
 
 def variants(t: Column) -> Column:

@@ -22,20 +22,31 @@ def page_lines(pages: DataFrame) -> DataFrame:
     return rows.withColumn("section", F.coalesce(F.last(F.when(F.col("is_heading"), F.col("line")), ignorenulls=True).over(so_far), F.lit("body")))
 
 
-def block_ids(lines: Column, limit: int = 320) -> Column:
-    """Block number of each line of a page (array of struct(pos, line, is_heading, section), in order).
+def by_document(pages: DataFrame) -> DataFrame:
+    """pages dealt by doc_id into the session's number of partitions: windows, grouping and joins by document or page then need no other exchange.
+
+    The number is given, because the work that follows grows with lines, not with the bytes that adaptive coalescing sees.
+    """
+    return pages.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+
+
+def _blocks(ls: Column, limit: int) -> Column:
+    """The lines of a page (array of struct(line, is_heading, ...), in order) as an array of blocks.
 
     A heading starts a block; a line starts one if the block's length, joined by spaces, and the line's exceed limit.
     """
-    zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("ids"))
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("used"), F.array().cast("array<int>").alias("starts"))
 
     def step(s, x):
-        size = F.length(x["line"])
+        size, i = F.length(x["line"]), s["i"] + 1
         new = x["is_heading"] | (s["used"] == 0) | (s["used"] + size > limit)
-        n = s["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(n.alias("n"), F.when(new, size).otherwise(s["used"] + 1 + size).alias("used"), F.concat(s["ids"], F.array(n)).alias("ids"))
+        return F.struct(i.alias("i"), F.when(new, size).otherwise(s["used"] + 1 + size).alias("used"), F.when(new, F.concat(s["starts"], F.array(i))).otherwise(s["starts"]).alias("starts"))
 
-    return F.aggregate(lines, zero, step, lambda s: s["ids"])
+    def cut(starts):
+        return F.transform(starts, lambda s, k: F.slice(ls, s, F.coalesce(F.try_element_at(starts, k + 2), F.size(ls) + 1) - s))
+
+    # a list of one, so that the starts are computed once
+    return F.flatten(F.transform(F.array(F.aggregate(ls, zero, step, lambda s: s["starts"])), cut))
 
 
 def _pieces(lines: Column, chunk_size: int) -> Column:
@@ -56,42 +67,69 @@ def _tokens(c: Column) -> Column:
     return X.word_count(X.squeeze(c))
 
 
-def text_chunks(lines: DataFrame, limit: int = 320, chunk_size: int = 900) -> DataFrame:
-    """Greedy blocks of a page's lines. Blocks over chunk_size can only be single lines or a heading with one, which are not cut."""
-    page = lines.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("pos", "line", "is_heading", "section"))).alias("ls"))
-    rows = page.select(*PAGE, F.explode(F.arrays_zip(F.col("ls"), block_ids(F.col("ls"), limit).alias("b"))).alias("z")).select(*PAGE, F.col("z.ls.pos").alias("pos"), F.col("z.ls.line").alias("line"), F.col("z.ls.section").alias("section"), F.col("z.b").alias("b"))
-    out = rows.groupBy(*PAGE, "b").agg(F.min("pos").alias("pos"), F.min("section").alias("section"), F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    # blocks over chunk_size are packed again, by length with line breaks
-    out = out.withColumn("piece", F.explode(_pieces(F.col("ls"), chunk_size))).withColumn("pos", F.col("piece.pos")).withColumn("chunk_text", F.col("piece.text"))
-    return _chunk(out, "text_chunk")
-
-
 def _chunk(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select(*PAGE, "pos", "section", "chunk_text", _tokens(F.col("chunk_text")).alias("token_count"), F.lit(kind).alias("evidence_type"))
 
 
+def _of_lines(builder: int, kind: str, pos: Column, section: Column, text: Column) -> Column:
+    return F.struct(F.lit(builder).alias("builder"), F.lit(kind).alias("evidence_type"), pos.alias("pos"), section.alias("section"), text.alias("chunk_text"))
+
+
+def _text_blocks(ls: Column, limit: int = 320, chunk_size: int = 900) -> Column:
+    """Greedy blocks; those over chunk_size are packed again, by length with line breaks."""
+    return F.flatten(F.transform(_blocks(ls, limit), lambda b: F.transform(_pieces(b, chunk_size), lambda p: _of_lines(0, "text_chunk", p["pos"], F.get(b, F.lit(0))["section"], p["text"]))))
+
+
+def _lines(ls: Column) -> Column:
+    return F.transform(F.filter(ls, lambda x: x["keep"]), lambda x: _of_lines(1, "line_chunk", x["pos"], x["section"], x["line"]))
+
+
+def _table_rows(ls: Column) -> Column:
+    def ahead(x, i):
+        """The lines after place i up to a heading, 6 at most; none where the line is a row by itself."""
+        after = F.slice(ls, i + 2, F.when(x["single"], 0).otherwise(6))
+        stop = F.array_position(F.transform(after, lambda y: y["is_heading"]), True).cast("int")
+        return F.slice(after, 1, F.when(stop > 0, stop - 1).otherwise(6))
+
+    rich = F.transform(ls, lambda x, i: F.when(x["rich"] & (x["single"] | ~x["num"]), F.struct(x.alias("x"), ahead(x, i).alias("next"))))
+    rows = F.filter(rich, lambda r: r.isNotNull() & (r["x"]["single"] | (F.size(F.filter(r["next"], lambda y: y["num"])) >= 3)))
+    return F.transform(rows, lambda r: _of_lines(2, "table_row", r["x"]["pos"], r["x"]["section"], F.array_join(F.concat(F.array(r["x"]["line"]), F.transform(r["next"], lambda y: y["line"])), "\n")))
+
+
+def _built(lines: DataFrame, *builders) -> DataFrame:
+    """Chunks of all builders from one array of lines a page. Tests of a line are made once, before it is collected."""
+    line = F.col("line")
+    num, plain = X.has_number(line), ~F.col("is_heading")
+    flags = {"keep": plain & (F.length(line) >= 12) & (X.word_count(line) >= 2), "rich": plain & X.is_text_rich(line), "num": num,
+             "single": num & (X.has_decimal(line) | (X.number_count(line) >= 2) | X.is_row_section(F.col("section")))}
+    ls = F.array_sort(F.collect_list(F.struct("pos", "line", "is_heading", "section", *flags)))
+    page = lines.withColumns(flags).groupBy(*PAGE).agg(ls.alias("ls"))
+    rows = page.select(*PAGE, F.explode(F.concat(*[b(F.col("ls")) for b in builders])).alias("c")).select(*PAGE, "c.*")
+    words = X.word_count(F.translate("chunk_text", "\n", " "))  # lines are squeezed
+    return rows.select(*PAGE, "pos", "section", "chunk_text", words.alias("token_count"), "evidence_type", "builder")
+
+
+def text_chunks(lines: DataFrame, limit: int = 320, chunk_size: int = 900) -> DataFrame:
+    """Greedy blocks of a page's lines. Blocks over chunk_size can only be single lines or a heading with one, which are not cut."""
+    return _built(lines, lambda ls: _text_blocks(ls, limit, chunk_size)).drop("builder")
+
+
 def line_chunks(lines: DataFrame) -> DataFrame:
-    keep = ~F.col("is_heading") & (F.length("line") >= 12) & (X.word_count(F.col("line")) >= 2)
-    return _chunk(lines.where(keep).withColumn("chunk_text", F.col("line")), "line_chunk")
+    """Lines of at least 12 characters and 2 words that are no headings."""
+    return _built(lines, _lines).drop("builder")
 
 
 def table_row_chunks(lines: DataFrame) -> DataFrame:
     """Lines that look like table rows, and text lines followed (within 6 lines, up to a heading) by at least 3 lines with numbers, as one chunk."""
-    line = F.col("line")
-    after = Window.partitionBy(*PAGE).orderBy("pos").rowsBetween(1, 6)
-    rows = lines.withColumn("next", F.collect_list(F.struct("line", "is_heading")).over(after)).where(~F.col("is_heading") & X.is_text_rich(line))
-    stop = F.array_position(F.transform("next", lambda x: x["is_heading"]), True)
-    rows = rows.withColumn("next", F.transform(F.when(stop > 0, F.slice("next", 1, (stop - 1).cast("int"))).otherwise(F.col("next")), lambda x: x["line"]))
-    single = X.has_number(line) & (X.has_decimal(line) | (X.number_count(line) >= 2) | X.is_row_section(F.col("section")))
-    many = ~X.has_number(line) & (F.size(F.filter("next", X.has_number)) >= 3)
-    return _chunk(rows.where(single | many).withColumn("chunk_text", F.when(single, line).otherwise(F.array_join(F.concat(F.array(line), F.col("next")), "\n"))), "table_row")
+    return _built(lines, _table_rows).drop("builder")
 
 
 def build_chunks(pages: DataFrame) -> DataFrame:
-    """All chunks of the pages, first of equal ones (page, section, type, text) kept, numbered from 0 in a document by page, builder and place."""
-    lines = page_lines(pages)
-    every = text_chunks(lines).withColumn("builder", F.lit(0)).unionByName(line_chunks(lines).withColumn("builder", F.lit(1))).unionByName(table_row_chunks(lines).withColumn("builder", F.lit(2)))
-    return number_chunks(every)
+    """All chunks of the pages, first of equal ones (page, section, type, text) kept, numbered from 0 in a document by page, builder and place.
+
+    One exchange, of the pages by document; every document's chunks are made, compared and numbered where they are.
+    """
+    return number_chunks(_built(page_lines(by_document(pages)), _text_blocks, _lines, _table_rows))
 
 
 def number_chunks(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import parse as P
 from ..functions import text as X
 from ..functions import vocab as V
-from .chunks import page_lines
+from .chunks import by_document, page_lines
 
 LABELS = [a for _, names in V.ALIASES.values() for a in names]
 
@@ -57,6 +57,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     Labels of a document are aggregated once: per field the first alias in order of preference, then in order
     of lines. Documents without labels are kept.
     """
+    docs = by_document(docs)  # the labels and the join back keep this partitioning
     values = labelled_values(docs)
     active = lambda f: F.col("doc_type").isin([k for k, v in V.ACTIVE.items() if f in v])
     picks = [F.min(F.when(_alias_rank(f).isNotNull(), F.struct(_alias_rank(f).alias("r"), F.col("pos"), F.col("label"), F.col("value"), F.col("source")))).alias(f"_{f}") for f in V.ALIASES]
@@ -65,7 +66,7 @@ def metadata(docs: DataFrame) -> DataFrame:
     parsed = {f: F.when(active(f), P.parse_value(kind, F.col(f"_{f}.value"))) for f, (kind, _) in V.ALIASES.items()}
     d = d.withColumns({f"_v_{f}": c for f, c in parsed.items()})
     back = fallbacks(F.col("text"))
-    d = d.withColumns({f"_b_{f}": c for f, c in back.items()})
+    d = d.withColumns({f"_b_{f}": F.when(F.col(f"_v_{f}").isNull(), c) for f, c in back.items()})  # patterns only run where no label gave a value
     final = {f: F.coalesce(F.col(f"_v_{f}"), *([F.col(f"_b_{f}")] if f in back else []), *([F.lit("INR")] if f == "currency" else [])) for f in V.ALIASES}
     source = {f: F.when(F.col(f"_v_{f}").isNotNull(), F.col(f"_{f}.source")).when(F.col(f"_b_{f}").isNotNull() if f in back else F.lit(False), "regex") for f in V.ALIASES}
     pairs = F.filter(F.array(*[F.struct(F.lit(f).alias("k"), c.alias("v")) for f, c in source.items()]), lambda x: x["v"].isNotNull())
