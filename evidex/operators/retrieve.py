@@ -26,22 +26,34 @@ def _grams(c: Column, n: int = 3) -> Column:
 
 
 def structured(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """query_id, doc_id, place: documents that meet all filters of a query, newest first, at most limit. Queries without a filter have none."""
+    """query_id, doc_id, place: documents that meet all filters of a query, newest first, at most limit. Queries without a filter have none.
+
+    docs has a row per doc_id. A query meets documents by its most selective filter; a part of a name meets the distinct names
+    first, by its first three characters, and documents by the whole names that hold it.
+    """
     amount = lambda c: F.col(c).cast("decimal(18,2)")
-    name = F.lower(F.coalesce("supplier_name", F.lit("")))
+    name, wanted = F.lower("supplier_name"), F.lower("f_supplier_name")
     year, month = F.year("doc_date"), F.month("doc_date")
-    kinds = F.array(_key("number", F.col("doc_number")), _key("gst", F.col("gstin")), _key("gst", F.col("buyer_gstin")), _key("amount", amount("amount")), _key("month", F.concat_ws("-", year, month)), _key("year", year), _key("type", F.col("doc_type")), F.lit("any"))
-    keys = F.array_distinct(F.concat(F.filter(kinds, lambda x: x.isNotNull()), F.transform(_grams(name), lambda g: F.concat(F.lit("name:"), g))))
+    both = F.col("f_month").isNotNull() & F.col("f_year").isNotNull()
+    kinds = [_key("number", F.col("doc_number")), _key("gst", F.col("gstin")), _key("gst", F.col("buyer_gstin")), _key("amount", amount("amount")), _key("name", name),
+             _key("month", F.concat(year, F.lit("-"), month)), _key("year", year), _key("any year", month), _key("type", F.col("doc_type"))]
+    keys = F.array_distinct(F.filter(F.array(*kinds), lambda x: x.isNotNull()))
     d = docs.select("doc_id", "doc_number", "gstin", "buyer_gstin", "amount", "doc_date", "doc_type", "supplier_name", F.explode(keys).alias("k"))
-    wanted = F.lower("f_supplier_name")
-    q_key = F.coalesce(_key("number", F.col("f_doc_number")), _key("gst", F.col("f_gstin")), _key("amount", amount("f_amount")), F.when(F.length(wanted) >= 3, F.concat(F.lit("name:"), F.substring(wanted, 1, 3))),
-                       F.when(F.col("f_month").isNotNull() & F.col("f_year").isNotNull(), F.concat(F.lit("month:"), F.concat_ws("-", "f_year", "f_month"))), _key("year", F.col("f_year")), F.when(wanted.isNull() & F.col("f_month").isNull(), _key("type", F.col("f_doc_type"))), F.when(wanted.isNotNull() | F.col("f_month").isNotNull(), "any"))
-    q = queries.select("query_id", "f_doc_number", "f_gstin", "f_amount", "f_supplier_name", "f_month", "f_year", "f_doc_type", q_key.alias("qk")).where("qk IS NOT NULL")
+    one = F.coalesce(_key("number", F.col("f_doc_number")), _key("gst", F.col("f_gstin")), _key("amount", amount("f_amount")))
+    few = F.when(both, _key("month", F.concat("f_year", F.lit("-"), "f_month")))
+    rest = F.coalesce(few, _key("year", F.col("f_year")), _key("any year", F.col("f_month")), _key("type", F.col("f_doc_type")))
+    q = queries.select("query_id", "f_doc_number", "f_gstin", "f_amount", "f_supplier_name", "f_month", "f_year", "f_doc_type", one.alias("one"))
+    by_name = F.col("one").isNull() & wanted.isNotNull()
+    direct = q.where(~by_name).withColumn("qk", F.coalesce("one", rest)).where("qk IS NOT NULL")
+    starts = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("n"), size) for size in (1, 2, 3)]))
+    names = docs.select(name.alias("n")).where("n IS NOT NULL").distinct().select("n", F.explode(starts).alias("start"))
+    named = q.where(by_name).join(names, F.substring(wanted, 1, 3) == F.col("start")).where(F.contains("n", wanted)).withColumn("qk", _key("name", F.col("n"))).drop("n", "start")
     unless = lambda f, test: F.col(f).isNull() | F.coalesce(test, F.lit(False))
-    ok = (unless("f_doc_number", F.col("doc_number") == F.col("f_doc_number")) & unless("f_gstin", F.coalesce(F.col("gstin") == F.col("f_gstin"), F.lit(False)) | F.coalesce(F.col("buyer_gstin") == F.col("f_gstin"), F.lit(False)))
-          & unless("f_amount", amount("amount") == amount("f_amount")) & unless("f_supplier_name", F.contains(F.lower("supplier_name"), F.lower("f_supplier_name"))) & unless("f_month", month == F.col("f_month")) & unless("f_year", year == F.col("f_year")) & unless("f_doc_type", F.col("doc_type") == F.col("f_doc_type")))
+    gst = F.coalesce(F.col("gstin") == F.col("f_gstin"), F.lit(False)) | F.coalesce(F.col("buyer_gstin") == F.col("f_gstin"), F.lit(False))
+    ok = (unless("f_doc_number", F.col("doc_number") == F.col("f_doc_number")) & unless("f_gstin", gst) & unless("f_amount", amount("amount") == amount("f_amount"))
+          & unless("f_supplier_name", F.contains(name, wanted)) & unless("f_month", month == F.col("f_month")) & unless("f_year", year == F.col("f_year")) & unless("f_doc_type", F.col("doc_type") == F.col("f_doc_type")))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("doc_date"), "doc_id")
-    hits = d.join(q, F.col("k") == F.col("qk")).where(ok).select("query_id", "doc_id", "doc_date").distinct()
+    hits = d.join(direct.unionByName(named), F.col("k") == F.col("qk")).where(ok).select("query_id", "doc_id", "doc_date")
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query_id", "doc_id", "place")
 
 

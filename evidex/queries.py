@@ -12,6 +12,7 @@ from .functions import text as X
 from .functions import vocab as V
 from .operators import answer, chunks, evaluate, fields, index, items, rerank, retrieve, stores
 from .plans import ingest, router, search
+from .plans.settle import settle
 from .sources.corpus import read_table, rendered
 from .streaming import inbox
 
@@ -504,7 +505,8 @@ k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT * FROM k WHERE place <= 200""")
 def structured_filter(spark, sf):
     q = spark.createDataFrame(FILTER_QUERIES, "query_id long, text string")
-    return retrieve.structured(truth_docs(spark, sf), router.with_filters(q), 200).withColumn("place", F.col("place").cast("long"))
+    docs = settle(truth_docs(spark, sf).select("doc_id", "doc_number", "gstin", "buyer_gstin", "amount", "doc_date", "doc_type", "supplier_name"))  # read twice, as a stored corpus is
+    return retrieve.structured(docs, settle(router.with_filters(q)), 200).withColumn("place", F.col("place").cast("long"))
 
 
 @query(f"WITH {RENDERED}, q(query_id, i) AS (VALUES (1, 'INV-00000501'), (2, 'BOM-00000505'), (3, 'inv-00000502'), (4, 'INV-000005')), h AS (SELECT query_id, doc_id, CASE WHEN doc_number = i THEN 1.0 WHEN lower(doc_number) || '.pdf' = i THEN 0.98 WHEN starts_with(lower(doc_number) || '.pdf', lower(i)) THEN 0.86 END AS lookup_score FROM q, rendered), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lookup_score DESC, doc_id) AS place FROM h WHERE lookup_score IS NOT NULL) SELECT query_id, doc_id, CAST(lookup_score AS DOUBLE) AS lookup_score, place FROM k WHERE place <= 20")

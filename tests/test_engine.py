@@ -3,6 +3,7 @@
 import datetime
 import json
 import os
+import random
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from evidex import queries as Q
 from evidex.functions import parse as P
 from evidex.functions import text as X
-from evidex.operators import answer, evaluate, fields, index, items, stores
+from evidex.operators import answer, evaluate, fields, index, items, retrieve, stores
 from evidex.plans import ingest, router, search
 from evidex.sources import corpus
 from evidex.streaming import inbox
@@ -223,3 +224,24 @@ def test_item_accuracy(spark):
     r = {r.supplier_name: r for r in evaluate.extraction_report(fields_of, pairs).collect()}
     assert (r[None].documents, r[None].passed_documents, r[None].field_checks, r[None].passed_field_checks, r[None].line_item_checks, r[None].passed_line_item_checks) == (4, 1, 3, 2, 9, 7)
     assert r["unknown"].document_accuracy == 0.5 and r["x"].line_item_accuracy == 0.6 and r["unknown"].field_accuracy == 0.5
+
+
+def test_structured_filters_against_brute_force(spark):
+    """Every combination of filters, parts of names of any length (also none), nulls, amounts equal to the cent."""
+    rng = random.Random(3)
+    day = [datetime.date(2024, 1, 3), datetime.date(2023, 1, 5), datetime.date(2024, 5, 5), None]
+    docs = [(i, rng.choice(["N1", "N2", None]), rng.choice(["G1", "G2", None]), rng.choice(["G1", "G3", None]), rng.choice([1.5, 2.0, None]), rng.choice(day), rng.choice(["invoice", "bom"]),
+             rng.choice(["Acme Ltd", "AB", "abab acme", "\u00c4 Co", None, ""])) for i in range(200)]
+    asked = [(i, rng.choice(["N1", None, None, None]), rng.choice(["G1", None, None, None]), rng.choice([2.0, None, None, None]), rng.choice(["acme", "A", "ab", "bab a", "", None, None, "zzz"]),
+              rng.choice([1, None, 5]), rng.choice([2024, None]), rng.choice(["bom", None])) for i in range(100)]
+    d = spark.createDataFrame(docs, "doc_id long, doc_number string, gstin string, buyer_gstin string, amount double, doc_date date, doc_type string, supplier_name string")
+    q = spark.createDataFrame(asked, "query_id long, f_doc_number string, f_gstin string, f_amount double, f_supplier_name string, f_month int, f_year int, f_doc_type string")
+    want = []
+    for i, number, gst, amount, name, month, year, kind in asked:
+        if {number, gst, amount, name, month, year, kind} == {None}:
+            continue
+        hits = [x for x in docs if number in (None, x[1]) and gst in (None, x[2], x[3]) and amount in (None, x[4]) and (name is None or (x[7] is not None and name.lower() in x[7].lower()))
+                and (month is None or (x[5] and x[5].month == month)) and (year is None or (x[5] and x[5].year == year)) and kind in (None, x[6])]
+        hits.sort(key=lambda x: (x[5] is None, -x[5].toordinal() if x[5] else 0, x[0]))
+        want += [(i, x[0], k) for k, x in enumerate(hits[:20], 1)]
+    assert sorted(tuple(r) for r in retrieve.structured(d, q, 20).collect()) == sorted(want)
