@@ -7,18 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_parts
+from .common import checkpoint
 
 PART = "_part_"
 
 
-def dealt(df: DataFrame, keys: list[str], order: list[str], least: int = 1) -> DataFrame:
+def dealt(df: DataFrame, keys: list[str], order: list[str], parts: int) -> DataFrame:
     """df in range partitions by keys and order (nulls first), written once, with the number of its partition in _part_.
 
-    Rows equal in keys and order stay together, so order should tell the rows of a key apart.
+    Rows equal in keys and order stay together, so order should tell the rows of a key apart. parts comes from the size of a table that
+    is read: Catalyst takes a join for the product of its sides.
     """
-    n = shuffle_parts(df, per_part=8 << 20, least=least)
-    return checkpoint(df.repartitionByRange(n, *keys, *order).withColumn(PART, F.spark_partition_id()))
+    return checkpoint(df.repartitionByRange(parts, *keys, *order).withColumn(PART, F.spark_partition_id()))
 
 
 def along(rows: DataFrame, key: str, order: list[str], totals: dict[str, tuple[Callable[[Column], Column], Column]]) -> DataFrame:

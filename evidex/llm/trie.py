@@ -18,21 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpoint, table
+from .common import bounded_batches, checkpoint, shuffle_parts, table
 from .spread import PART, along, dealt, looked_up
 
 NODE = ["depth", "k1", "k2"]
 NOBODY = hashlib.sha256(b"").hexdigest()
 
 
-def turns(conversations: DataFrame) -> DataFrame:
+def turns(conversations: DataFrame, parts: int) -> DataFrame:
     """conv_id, place (1, 2, ... by turn), digest and bytes of every turn."""
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     light = conversations.where("conv_id IS NOT NULL").select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.unhex(F.sha2(F.concat(F.octet_length(part("role")).cast("string"), F.lit(":"), part("role"), part("text")), 256)).alias("digest"),
         F.octet_length(part("text")).cast("long").alias("bytes"))
     order = ["turn", "digest"]
-    placed = along(dealt(light, ["conv_id"], order), "conv_id", order, {"place": (F.sum, F.lit(1).cast("long"))})
+    placed = along(dealt(light, ["conv_id"], order, parts), "conv_id", order, {"place": (F.sum, F.lit(1).cast("long"))})
     return placed.select("conv_id", (F.col("place") + 1).alias("place"), "digest", "bytes")
 
 
@@ -48,14 +48,14 @@ def grafted(own: DataFrame, convs: DataFrame, family: int = 5, most: int = 8) ->
     return tail.unionByName(head)
 
 
-def occurrences(rows: DataFrame, convs: DataFrame) -> DataFrame:
+def occurrences(rows: DataFrame, convs: DataFrame, parts: int) -> DataFrame:
     """A row for each conversation and depth from 0: node key (depth, k1, k2), its parent's p1, p2, bytes of its last text and of the texts before that.
 
     rows: conv_id, order columns side and place, digest, bytes; convs: every conv_id. A key is the exclusive or of hashes of (depth, digest)
     along the path, so it is a running total like the bytes.
     """
     order = ["side", "place"]
-    deep = along(dealt(rows, ["conv_id"], order), "conv_id", order, {"depth": (F.sum, F.lit(1).cast("long"))}).withColumn("depth", F.col("depth") + 1)
+    deep = along(dealt(rows, ["conv_id"], order, parts), "conv_id", order, {"depth": (F.sum, F.lit(1).cast("long"))}).withColumn("depth", F.col("depth") + 1)
     deep = deep.withColumns({f"x{i}": F.xxhash64(F.lit(i), "depth", "digest") for i in (1, 2)})
     deep = along(deep, "conv_id", order, {"p1": (F.bit_xor, F.col("x1")), "p2": (F.bit_xor, F.col("x2")), "before": (F.sum, F.col("bytes"))})
     zero = F.lit(0).cast("long")
@@ -63,13 +63,13 @@ def occurrences(rows: DataFrame, convs: DataFrame) -> DataFrame:
     return checkpoint(deep.select("conv_id", "depth", F.col("p1").bitwiseXOR(F.col("x1")).alias("k1"), F.col("p2").bitwiseXOR(F.col("x2")).alias("k2"), "p1", "p2", "before", "bytes").unionByName(roots))
 
 
-def ends_digest(ends: DataFrame) -> DataFrame:
+def ends_digest(ends: DataFrame, parts: int) -> DataFrame:
     """NODE and ends_sha256 of the ascending, comma-joined conv_ids in ends (NODE, conv_id).
 
     Ids are joined inside range partitions first, so a node where very many conversations end is a string for each partition;
     these are hashed in order, batch by batch, without ever being one string.
     """
-    cut = dealt(ends.select(*NODE, "conv_id"), NODE, ["conv_id"])
+    cut = dealt(ends.select(*NODE, "conv_id"), NODE, ["conv_id"], parts)
     joined = F.array_join(F.transform(F.array_sort(F.collect_list("conv_id")), lambda i: i.cast("string")), ",")
     pieces = cut.groupBy(PART, *NODE).agg(joined.alias("ids"))
 
@@ -100,10 +100,11 @@ def trie(conversations: DataFrame, rebuild: bool = True, family: int = 5, most:
 
     rebuild: graft heads onto conversations first, as `grafted` says; else conversations are taken as they are. Tokens are UTF-8 bytes of texts.
     """
+    parts = shuffle_parts(conversations)
     convs = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
-    own = turns(conversations)
+    own = turns(conversations, parts)
     rows = grafted(own, convs, family, most) if rebuild else own.withColumn("side", F.lit(1))
-    occ = occurrences(rows, convs)
+    occ = occurrences(rows, convs, parts)
     seen = checkpoint(occ.groupBy(*NODE).agg(F.min("conv_id").alias("owner"), F.count("*").alias("n_convs"), *[F.first(c).alias(c) for c in ("p1", "p2", "before")]))
     kids = seen.where("depth > 0").groupBy((F.col("depth") - 1).alias("depth"), F.col("p1").alias("k1"), F.col("p2").alias("k2")).agg(F.count("*").alias("n_children"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
@@ -118,7 +119,7 @@ def trie(conversations: DataFrame, rebuild: bool = True, family: int = 5, most:
     sums = looked_up(occ, info, ["conv_id"], "rows").groupBy(*NODE).agg(F.sum("leaf").alias("n_leaves"), F.sum(repeated).alias("saved_tokens"))
     above = nodes.where("n_children > 0").select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("owner").alias("parent_conv_id"), F.col("n_children").alias("asked"))
     below = looked_up(nodes.where("depth > 0").select(*NODE, "p1", "p2"), above, ["depth", "p1", "p2"], "asked").select(*NODE, "parent_conv_id")
-    out = nodes.join(sums, NODE).join(below, NODE, "left").join(ends_digest(ends), NODE, "left")
+    out = nodes.join(sums, NODE).join(below, NODE, "left").join(ends_digest(ends, parts), NODE, "left")
     whole: list[Column] = [F.col("owner").alias("conv_id"), F.col("depth"), F.col("parent_conv_id"), F.col("n_convs"), F.col("n_children"), F.col("n_leaves").cast("long").alias("n_leaves"), F.col("saved_tokens").cast("long").alias("saved_tokens")]
     return out.select(*whole, F.coalesce("ends_sha256", F.lit(NOBODY)).alias("ends_sha256"))
 

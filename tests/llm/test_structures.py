@@ -44,7 +44,7 @@ def test_totals_along_keys_of_any_size(spark):
     rng = random.Random(1)
     rows = [(0 if rng.random() < 0.6 else rng.randint(-5, 40), i, rng.randint(0, 9), rng.getrandbits(60)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, i long, v long, x long").repartition(6)
-    cut = spread.dealt(df, ["k"], ["i"], least=9)
+    cut = spread.dealt(df, ["k"], ["i"], 9)
     assert cut.where("k = 0").select(spread.PART).distinct().count() > 3
     got = {(r["k"], r["i"]): (r["s"], r["b"]) for r in spread.along(cut, "k", ["i"], {"s": (F.sum, F.col("v")), "b": (F.bit_xor, F.col("x"))}).collect()}
     want, at = {}, defaultdict(lambda: (0, 0))
