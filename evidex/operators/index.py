@@ -10,51 +10,32 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
+from .inverted import KEY, WHOLE, Computed, Stored, hashed
 from .retrieve import only_allowed
 
-KEY = ["doc_id", "chunk_index"]
 K1, B = 1.2, 0.75
 
 
-WHOLE = ("doc_number", "supplier_name")  # fields that match as whole values only
-
-
-def _words(f: str, whole: tuple[str, ...]) -> Column:
-    """Terms of a field: words, or `=` and the value."""
-    if f in whole:
-        return F.when(F.coalesce(f, F.lit("")) != "", F.array(F.concat(F.lit("="), f))).otherwise(F.array().cast("array<string>"))
-    return F.regexp_extract_all(F.lower(F.coalesce(f, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-
-
-def postings(chunks: DataFrame, fields: list[str], whole: tuple[str, ...] = WHOLE) -> DataFrame:
-    """field, term, tf and the field's length for every chunk."""
-    out = None
-    for f in fields:
-        one = chunks.select(*KEY, F.lit(f).alias("field"), _words(f, whole).alias("t")).withColumn("len", F.size("t")).select(*KEY, "field", "len", F.explode("t").alias("term"))
-        one = one.groupBy(*KEY, "field", "len", "term").agg(F.count("*").alias("tf"))
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 def keyword_text() -> Column:
     """What a routed query asks of the keyword index: its search terms, or its normal form if there are none."""
     return F.when(F.size("terms") > 0, F.array_join("terms", " ")).otherwise(X.normal_search("text"))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, boosts: dict[str, float] | None = None, whole: tuple[str, ...] = WHOLE, allowed: DataFrame | None = None, bound: DataFrame | None = None, stored: DataFrame | None = None) -> DataFrame:
+def bm25(lists: DataFrame | Computed | Stored, queries: DataFrame, boosts: dict[str, float] | None = None, whole: tuple[str, ...] = WHOLE, allowed: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, chunk_index, score: best boosted field by BM25 of the query's words (queries: query_id, text).
 
-    Document frequencies and mean lengths are of all chunks; only postings of asked words are scored, and those of queries of
-    `bound` (query_id) only in their `allowed` documents (query_id, doc_id). stored: postings() written before.
+    lists: a table of chunks, or an index over it. Document frequencies and mean lengths are of all chunks; only postings of asked
+    words are read, and those of queries of `bound` (query_id) score only in their `allowed` documents (query_id, doc_id).
     """
     boosts = boosts or V.FIELD_BOOSTS
-    p = stored if stored is not None else postings(chunks, list(boosts), whole)
+    lists = Computed(lists, whole) if isinstance(lists, DataFrame) else lists
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
     q = queries.select("query_id", F.explode(F.concat(words, F.array(F.concat(F.lit("="), "text")))).alias("q_term"))
-    sizes = [F.lit(1.0).alias(f"m_{f}") if f in whole else F.avg(F.size(_words(f, whole))).alias(f"m_{f}") for f in boosts]
-    stats = chunks.agg(F.count("*").alias("n"), *sizes).select("n", F.explode(F.array(*[F.struct(F.lit(f).alias("s_field"), F.col(f"m_{f}").alias("mean"), F.lit(float(b)).alias("boost")) for f, b in boosts.items()])).alias("s")).select("n", "s.*")
-    asked = p.join(q.select(F.col("q_term").alias("a")).distinct(), F.col("term") == F.col("a"), "left_semi")
-    df = asked.groupBy(F.col("field").alias("d_field"), F.col("term").alias("d_term")).agg(F.count("*").alias("df"))
+    terms, fields = q.select(F.col("q_term").alias("term")).distinct(), tuple(boosts)
+    boost = F.element_at(F.create_map(*[x for f, b in boosts.items() for x in (F.lit(f), F.lit(float(b)))]), F.col("s_field"))
+    stats = lists.sizes(fields).select(F.col("field").alias("s_field"), "n", F.when(F.col("field").isin(*whole), 1.0).otherwise(F.col("mean")).alias("mean")).withColumn("boost", boost)  # a row a field
+    df = lists.frequencies(fields, terms).select(F.col("field").alias("d_field"), F.col("term").alias("d_term"), "df")
+    asked = lists.postings(fields, terms).select(*KEY, "field", "term", "tf", "len")
     rows = asked.join(df, (F.col("field") == F.col("d_field")) & (F.col("term") == F.col("d_term"))).join(F.broadcast(stats), F.col("field") == F.col("s_field"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("boost") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
@@ -62,13 +43,6 @@ def bm25(chunks: DataFrame, queries: DataFrame, boosts: dict[str, float] | None
     return scored.groupBy("query_id", *KEY, "field").agg(F.sum("w").alias("s")).groupBy("query_id", *KEY).agg(F.max("s").alias("score"))
 
 
-def hashed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> DataFrame:
-    """Sparse hashed embedding: keys, slot, value (of unit length); texts without a token have no rows."""
-    v = rows.select(*keys, F.explode(X.hash_slots(text, size)).alias("h")).groupBy(*keys, "h.slot").agg(F.sum("h.sign").alias("v")).where("v <> 0")
-    w = Window.partitionBy(*keys)
-    return v.withColumn("value", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))).drop("v")
-
-
 def embed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> DataFrame:
     """keys, embedding (array of size doubles; zeros for texts without a token)."""
     v = hashed(rows, keys, text, size).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("slot", "value"))).alias("m"))
@@ -76,10 +50,16 @@ def embed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> DataF
     return rows.select(*keys).join(v, keys, "left").select(*keys, full.alias("embedding"))
 
 
-def hashed_search(chunks: DataFrame, queries: DataFrame, size: int = 384) -> DataFrame:
-    """query_id, doc_id, chunk_index, score by cosine of hashed embeddings, joined slot by slot; chunks that share no slot are left out."""
-    c, q = hashed(chunks, KEY, "search_text", size), hashed(queries, ["query_id"], "text", size)
-    return c.join(q.select("query_id", F.col("slot").alias("s"), F.col("value").alias("qv")), F.col("slot") == F.col("s")).groupBy("query_id", *KEY).agg(F.sum(F.col("value") * F.col("qv")).alias("score"))
+def hashed_search(lists: DataFrame | Computed | Stored, queries: DataFrame, allowed: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, chunk_index, score by cosine of hashed embeddings; chunks that share no slot are left out.
+
+    lists: a table of chunks, or an index, of which only the asked slots are read. Queries of `bound` (query_id) meet their `allowed` documents
+    (query_id, doc_id) only, before anything is summed.
+    """
+    lists = Computed(lists) if isinstance(lists, DataFrame) else lists
+    q = hashed(queries, ["query_id"], "text").select("query_id", "slot", F.col("value").alias("qv"))
+    pairs = only_allowed(lists.vectors(q.select("slot").distinct()).join(q, "slot"), allowed, bound)
+    return pairs.groupBy("query_id", *KEY).agg(F.sum(F.col("value") * F.col("qv")).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int | str, order: tuple[str, ...] = ("doc_id", "chunk_index")) -> DataFrame:

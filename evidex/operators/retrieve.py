@@ -1,8 +1,7 @@
 """Retrieval for a batch of routed queries: exact, structured, term-scored, fused and distinct hits.
 
 Joins of queries with documents are equi-joins on derived keys (a filter's value, three characters of a name),
-followed by the full test; terms are looked for in the chunks of a query's allowed documents, or in all chunks by
-blocks of queries.
+followed by the full test; terms reach chunks by inverted lists.
 """
 
 from __future__ import annotations
@@ -12,8 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
-
-KEY = ["doc_id", "chunk_index"]
+from .inverted import KEY, Computed, Stored, containing, cover_density
 
 
 def _key(kind: str, value: Column) -> Column:
@@ -73,43 +71,28 @@ def exact(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 
 
-def cover_rank(haystack: Column, words: Column) -> Column:
-    """0.1 / (1 + words of others in between) for the span of the first occurrences of all words; 0 if one is missing or there are none.
-
-    A simple form of cover density ranking: one cover, weight 0.1.
-    """
-    toks = F.regexp_extract_all(F.lower(haystack), F.lit("[a-z0-9]+"), F.lit(0))
-    places = F.transform(words, lambda w: F.array_position(toks, w))
-    whole = (F.size(words) > 0) & F.forall(places, lambda p: p > 0)
-    span = F.array_max(places) - F.array_min(places) + 1
-    return F.when(whole, 0.1 / (1 + F.greatest(span - F.size(F.array_distinct(words)), F.lit(0)))).otherwise(0.0)
-
-
-def term_scored(chunks: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, bound: DataFrame | None = None, block: int = 1024) -> DataFrame:
-    """query_id, doc_id, chunk_index, score: 0.8 for a contained term with a digit, 0.18 for another, and the cover rank of the text terms.
+def term_scored(lists: DataFrame | Computed | Stored, queries: DataFrame, allowed: DataFrame | None = None, bound: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, chunk_index, score: 0.8 for a contained term with a digit, 0.18 for another, and the cover density of the text terms' words.
 
-    Queries of `bound` (query_id) see the chunks of their `allowed` documents (query_id, doc_id), by an equi-join; the others go to
-    every chunk in blocks of about `block` queries, so what is broadcast is bounded and no pair moves before it has scored.
+    lists: a table of chunks, or an index over it. Terms are looked for once each, in the vocabulary, whatever the number of queries, and reach
+    chunks by postings; covers are swept over the places of the words. Queries of `bound` (query_id) see their `allowed` documents (query_id, doc_id) only.
     """
+    lists = Computed(lists) if isinstance(lists, DataFrame) else lists
     phrase = F.lower(X.normal_search("text"))
     asked = F.when(F.size("terms") > 0, F.col("terms")).otherwise(F.filter(F.array(phrase), lambda x: x != ""))
-    q = queries.select("query_id", asked.alias("asked"), "text_terms")
-    c = chunks.select(*KEY, F.lower("search_text").alias("body"))
-    found = lambda terms: F.filter(terms, lambda t: F.contains(F.col("body"), t))
-    free, rows = q, None
-    if bound is not None:
-        free = q.join(bound.select("query_id").distinct(), "query_id", "left_anti")
-        rows = allowed.select("query_id", "doc_id").distinct().join(q, "query_id").join(c, "doc_id").select("query_id", *KEY, "body", "asked", "text_terms")
-    blocks = max(1, -(-free.count() // block))
-    for b in range(blocks):
-        some = free.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else free
-        one = some.groupBy().agg(F.collect_list(F.struct("query_id", "asked", "text_terms")).alias("qs"))
-        hit = F.filter("qs", lambda x: F.exists(x["asked"], lambda t: F.contains(F.col("body"), t)))
-        part = c.join(F.broadcast(one), F.lit(True)).select(*KEY, "body", F.explode(hit).alias("q")).select("q.query_id", *KEY, "body", "q.asked", "q.text_terms")
-        rows = part if rows is None else rows.unionByName(part)
-    hit = found(F.col("asked"))
-    score = F.size(X.numeric(hit)) * 0.8 + F.size(X.textual(hit)) * 0.18 + cover_rank(F.col("body"), F.col("text_terms"))
-    return rows.where(F.size(hit) > 0).select("query_id", *KEY, F.round(score, 6).alias("score"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.array_join("text_terms", " ")), F.lit("[a-z0-9]+"), F.lit(0)))
+    q = queries.select("query_id", asked.alias("asked"), words.alias("words"))
+    terms = q.select("query_id", F.explode(F.array_distinct("asked")).alias("term"))
+    hits = only_allowed(containing(lists, terms).join(terms, "term"), allowed, bound)
+    number = F.col("term").rlike(r"\d").cast("int")
+    hits = hits.groupBy("query_id", *KEY).agg(F.sum(number).alias("numeric"), F.sum(1 - number).alias("textual"))
+    own = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
+    at = only_allowed(lists.postings(("search_text",), own.select("term").distinct()).select(*KEY, "term", "places").join(own, "term"), allowed, bound)
+    at = at.groupBy("query_id", *KEY, "n").agg(F.collect_list(F.struct("term", "places")).alias("p")).where(F.size("p") == F.col("n"))
+    spots = F.flatten(F.transform("p", lambda x: F.transform(x["places"], lambda i: F.struct(i.alias("at"), x["term"].alias("term")))))
+    covers = at.select("query_id", *KEY, cover_density(spots, F.col("n")).alias("cover"))
+    score = F.col("numeric") * 0.8 + F.col("textual") * 0.18 + F.coalesce("cover", F.lit(0.0))
+    return hits.join(covers, ["query_id", *KEY], "left").select("query_id", *KEY, F.round(score, 6).alias("score"))
 
 
 def only_allowed(scored: DataFrame, allowed: DataFrame | None, restricted: DataFrame | None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import parse as P
 from .functions import text as X
 from .functions import vocab as V
-from .operators import answer, chunks, evaluate, fields, index, items, rerank, retrieve, stores
+from .operators import answer, chunks, evaluate, fields, index, inverted, items, rerank, retrieve, stores
 from .plans import ingest, router, search
 from .plans.settle import settle
 from .sources.corpus import read_table, rendered
@@ -414,9 +415,24 @@ def row_chunks(spark, sf) -> DataFrame:
 
 
 ROW_CHUNKS = f"{RENDERED}, src AS (SELECT doc_id, text FROM rendered), {LINES}, {TABLE_ROWS}, ch AS (SELECT doc_id, pos AS chunk_index, section, chunk_text, lower({ns('chunk_text')}) AS search_text FROM tr)"
-SCORED = """sc0 AS (SELECT query_id, doc_id, chunk_index, list_filter(asked, lambda t: contains(lower(search_text), t)) AS hit, words, list_transform(words, lambda w: coalesce(list_position(regexp_extract_all(lower(search_text), '[a-z0-9]+'), w), 0)) AS ps FROM qt, ch),
-sc AS (SELECT query_id, doc_id, chunk_index, round(len(list_filter(hit, lambda x: regexp_matches(x, '\\d'))) * 0.8 + len(list_filter(hit, lambda x: NOT regexp_matches(x, '\\d'))) * 0.18
-  + CASE WHEN len(words) > 0 AND list_min(ps) > 0 THEN 0.1 / (1 + greatest(list_max(ps) - list_min(ps) + 1 - len(list_distinct(words)), 0)) ELSE 0 END, 6) AS score FROM sc0 WHERE len(hit) > 0)"""
+def scored_sql(p: str, out: str, extra: str = "", where: str = "true") -> str:
+    """CTE `out` (query_id, doc_id, chunk_index, score): terms of qt contained in the chunks ch, and cover density by the places of their words.
+
+    For every place of an asked word, the last place so far of each word; a cover begins at the earliest of these, and ends at the first place that gives it.
+    """
+    return f"""{p}0 AS (SELECT query_id, doc_id, chunk_index, search_text, list_filter(asked, lambda t: contains(lower(search_text), t)) AS hit,
+  list_distinct(regexp_extract_all(lower(array_to_string(words, ' ')), '[a-z0-9]+')) AS cw FROM qt, ch WHERE {where} AND len(list_filter(asked, lambda t: contains(lower(search_text), t))) > 0),
+{p}1 AS (SELECT query_id, doc_id, chunk_index, len(cw) AS n, unnest(list_filter(list_transform(regexp_extract_all(lower(search_text), '[a-z0-9]+'), lambda x, i: {{'at': i, 'w': x}}), lambda o: list_contains(cw, o.w))) AS o
+  FROM {p}0 WHERE len(cw) > 0 AND len(list_filter(cw, lambda w: list_contains(regexp_extract_all(lower(search_text), '[a-z0-9]+'), w))) = len(cw)),
+{p}2 AS (SELECT a.query_id, a.doc_id, a.chunk_index, a.n, a.o.at AS r, b.o.w AS w, max(b.o.at) AS last FROM {p}1 a JOIN {p}1 b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND a.chunk_index = b.chunk_index AND b.o.at <= a.o.at GROUP BY ALL),
+{p}3 AS (SELECT query_id, doc_id, chunk_index, r, min(last) AS l FROM {p}2 GROUP BY query_id, doc_id, chunk_index, n, r HAVING count(*) = n),
+{p}4 AS (SELECT query_id, doc_id, chunk_index, l, min(r) AS r FROM {p}3 GROUP BY ALL),
+{p}5 AS (SELECT c.query_id, c.doc_id, c.chunk_index, 0.1 / (1 + c.r - c.l + 1 - count(*)) AS d FROM {p}4 c JOIN {p}1 a ON a.query_id = c.query_id AND a.doc_id = c.doc_id AND a.chunk_index = c.chunk_index AND a.o.at BETWEEN c.l AND c.r GROUP BY c.query_id, c.doc_id, c.chunk_index, c.l, c.r),
+{p}6 AS (SELECT query_id, doc_id, chunk_index, sum(d) AS cover FROM {p}5 GROUP BY ALL),
+{out} AS (SELECT query_id, doc_id, chunk_index, round(len(list_filter(hit, lambda x: regexp_matches(x, '\\d'))) * 0.8 + len(list_filter(hit, lambda x: NOT regexp_matches(x, '\\d'))) * 0.18 + coalesce(cover, 0), 6) AS score{extra} FROM {p}0 LEFT JOIN {p}6 USING (query_id, doc_id, chunk_index))"""
+
+
+SCORED = scored_sql("sc", "sc")
 
 
 @query(f"WITH {BATCH_SQL}, {ROW_CHUNKS}, {TERMS}, {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM sc) SELECT query_id, doc_id, chunk_index, score, rank FROM k WHERE rank <= 20")
@@ -431,6 +447,34 @@ p AS (SELECT doc_id, len, w, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len,
 SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS score FROM t JOIN p USING (w) JOIN df USING (w), st GROUP BY 1, 2)"""
 
 
+def whole_docs(spark, sf) -> DataFrame:
+    """Every document as one chunk."""
+    return read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), F.lower(X.normal_search("text")).alias("search_text"))
+
+
+WHOLE_DOCS = f"ch AS (SELECT doc_id, 0 AS chunk_index, lower({ns('text')}) AS search_text FROM documents)"
+TOP20 = "k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc) SELECT query_id, doc_id, score, rank FROM k WHERE rank <= 20"
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 20 = 0), {WHOLE_DOCS}, {TERMS}, {SCORED}, {TOP20}")
+def term_search(spark, sf):
+    """Terms of the benchmark items with ids divisible by 20, looked for as parts of words in all documents."""
+    q = read_table(spark, sf, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), "text")
+    return index.top_k(retrieve.term_scored(whole_docs(spark, sf), router.routed(q)), 20).drop("chunk_index")
+
+
+WORDS_3 = "(SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: length(x) BETWEEN 3 AND 6) AS ws FROM documents WHERE doc_id % 20 = 0)"
+
+
+@query(f"WITH q AS (SELECT doc_id AS query_id, ws[2] || ' ' || ws[3] AS text FROM {WORDS_3} WHERE len(ws) > 2), {WHOLE_DOCS}, {TERMS}, {SCORED}, {TOP20}")
+def cover_ranks(spark, sf):
+    """Two words of every document whose id is divisible by 20, in all documents: words that occur many times in a text, so it has many covers."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda x: F.length(x).between(3, 6))
+    q = read_table(spark, sf, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), words.alias("ws")).where(F.size("ws") > 2)
+    q = q.select("query_id", F.concat_ws(" ", F.get("ws", F.lit(1)), F.get("ws", F.lit(2))).alias("text"))
+    return index.top_k(retrieve.term_scored(whole_docs(spark, sf), router.routed(q)), 20).drop("chunk_index")
+
+
 @query(f"WITH q AS (SELECT item_id AS query_id, text FROM benchmark), {BM25}, k AS (SELECT query_id, doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 4) DESC, doc_id) AS rank FROM bm) SELECT * FROM k WHERE rank <= 10")
 def bm25_topk(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
@@ -600,8 +644,7 @@ ft AS (SELECT doc_id, chunk_index, field, boost, regexp_extract_all(lower(v), '[
 fs AS (SELECT field, count(*) AS nd, avg(len(ts)) AS mean FROM ft GROUP BY 1),
 fp AS (SELECT doc_id, chunk_index, field, boost, len, w, count(*) AS tf FROM (SELECT doc_id, chunk_index, field, boost, len(ts) AS len, unnest(ts) AS w FROM ft) WHERE w IN (SELECT w FROM kw) GROUP BY ALL), fd AS (SELECT field, w, count(*) AS df FROM fp GROUP BY 1, 2),
 s1 AS (SELECT query_id, doc_id, chunk_index, round(max(s), 6) AS score, 'keyword' AS source FROM (SELECT query_id, doc_id, chunk_index, field, sum(boost * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))) AS s FROM fp JOIN kw USING (w) JOIN fd USING (field, w) JOIN fs USING (field) WHERE {INSIDE} GROUP BY ALL) GROUP BY 1, 2, 3),
-l0 AS (SELECT query_id, doc_id, chunk_index, words, list_filter(asked, lambda t: contains(lower(search_text), t)) AS hit, list_transform(words, lambda w: coalesce(list_position(regexp_extract_all(lower(search_text), '[a-z0-9]+'), w), 0)) AS ps FROM qt, ch WHERE {INSIDE} AND len(list_filter(asked, lambda t: contains(lower(search_text), t))) > 0),
-s2 AS (SELECT query_id, doc_id, chunk_index, round(len(list_filter(hit, lambda x: regexp_matches(x, '\\d'))) * 0.8 + len(list_filter(hit, lambda x: NOT regexp_matches(x, '\\d'))) * 0.18 + CASE WHEN len(words) > 0 AND list_min(ps) > 0 THEN 0.1 / (1 + greatest(list_max(ps) - list_min(ps) + 1 - len(list_distinct(words)), 0)) ELSE 0 END, 6) AS score, 'postgres_keyword' AS source FROM l0),
+{scored_sql("l", "s2", ", 'postgres_keyword' AS source", INSIDE)},
 hs0 AS (SELECT doc_id, chunk_index, CAST(NULL AS INTEGER) AS query_id, search_text AS t FROM ch UNION ALL SELECT CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), query_id, text FROM rq WHERE use_semantic),
 hs1 AS (SELECT doc_id, chunk_index, query_id, sha1(unnest(regexp_extract_all(lower(t), '[a-z0-9]{{2,}}'))) AS h FROM hs0),
 hs2 AS (SELECT doc_id, chunk_index, query_id, CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 384 AS slot, sum(CASE WHEN CAST(('0x' || substring(h, 9, 2)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM hs1 GROUP BY ALL),
@@ -674,10 +717,33 @@ def search_sources(spark, sf):
     return search.source_hits(c.chunks, plan, ok, bound, 40).select("query_id", "source", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 4).alias("score"))
 
 
+def kept_index(spark, sf) -> ingest.Corpus:
+    """The corpus of a folder with an index that has come to hold its chunks by changes: two thirds of the documents first, a quarter of these with old texts, and some
+    that don't exist; then the rest, the right texts, and the deletion of the others. Written once per session."""
+    key = (spark.sparkContext.applicationId, sf, "index")
+    if key not in _corpora:
+        c = small_corpus(spark, sf)
+        d, stale = F.col("doc_id"), F.concat(F.lit("stale nos "), "search_text")
+        old = c.chunks.where(d % 3 != 0).withColumns({x: F.when(d % 4 == 0, F.concat(F.lit("stale nos "), x)).otherwise(F.col(x)) for x in ("search_text", "chunk_text")})
+        odd = c.chunks.where(d % 50 == 1).withColumns({"doc_id": -1 - d, "search_text": stale})
+        stored = inverted.Stored(spark, f"{search.shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        stored.add(old.unionByName(odd)).add(c.chunks.where((d % 3 == 0) | (d % 4 == 0))).delete(odd.select("doc_id"))
+        _corpora[key] = ingest.Corpus(c.documents, c.chunks, c.items, stored)
+    return _corpora[key]
+
+
+@query(BEGIN + f", {SOURCES} SELECT query_id, source, doc_id, chunk_index, round(score, 4) AS score FROM sh")
+def stored_sources(spark, sf):
+    """As search_sources, from the stored index after inserts, a replacement and a deletion."""
+    c, plan = kept_index(spark, sf), search.settle(router.executed(router.routed(search_batch(spark))))
+    _, _, ok, bound = search.scope(c.documents, plan)
+    return search.source_hits(c.chunks, plan, ok, bound, 40, c.index).select("query_id", "source", "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.round("score", 4).alias("score"))
+
+
 @query(BEGIN + f", {SOURCES}, {SEARCH} SELECT query_id, rank, doc_id, chunk_index, evidence_type, round(score, 3) AS score, array_to_string(sources, ',') AS sources, snippet FROM fh")
 def search_hits(spark, sf):
     """Ranked evidence of the whole search: fused, merged with structured and exact documents, reranked."""
-    _, hits = search.search(small_corpus(spark, sf), search_batch(spark), 5)
+    _, hits = search.search(kept_index(spark, sf), search_batch(spark), 5)
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "evidence_type", F.round("score", 3).alias("score"), F.array_join(F.array_sort("sources"), ",").alias("sources"), "snippet")
 
 
@@ -692,7 +758,7 @@ an2 AS (SELECT query_id, route, arg_min('Found ' || doc_number || '. File: ' ||
 @query(BEGIN + f", {SOURCES}, {SEARCH}, {ANSWERS} SELECT query_id, route, CASE WHEN route = 'exact_match' THEN exact ELSE coalesce(rowa, extract) END AS answer, CASE WHEN route = 'exact_match' THEN 'deterministic' WHEN rowa IS NOT NULL THEN 'extractive_row' ELSE 'extractive' END AS backend FROM an2")
 def search_answers(spark, sf):
     """Whole search: plan, retrieval, fusion, merges, rerank, answers."""
-    plan, hits = search.search(small_corpus(spark, sf), search_batch(spark), 5)
+    plan, hits = search.search(kept_index(spark, sf), search_batch(spark), 5)
     return answer.answers(hits, plan)
 
 
