@@ -244,7 +244,8 @@ class Stored:
         if by is None:
             df.coalesce(1).write.mode("overwrite").parquet(path)
         else:  # large buckets, as those of very frequent terms, are split
-            df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+            order = [c for c in (by, "field", "term", "gram", "slot") if c in df.columns]  # a read for few terms skips the rest of a file by its statistics
+            df.hint("rebalance", by).sortWithinPartitions(*order).write.mode("overwrite").partitionBy(by).parquet(path)
 
     def _counted(self, df: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
         """Changes of frequencies and sizes by the rows of df."""

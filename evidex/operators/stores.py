@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normal_name, search_text
+from ..plans.settle import settle
 
 
 def register_suppliers(known: DataFrame, names: DataFrame) -> DataFrame:
@@ -16,15 +17,18 @@ def register_suppliers(known: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def upsert_latest(old: DataFrame, new: DataFrame, key: str = "doc_id", at: str = "updated_at") -> DataFrame:
-    """Rows of old and new, the latest of every key."""
-    w = Window.partitionBy(key).orderBy(F.desc(at))
-    return old.unionByName(new).withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
+    """Rows of old and new, the latest of every key; of equally late ones a new row, then the one with the largest hash of all its columns."""
+    w = Window.partitionBy(key).orderBy(F.desc(at), F.desc("_n"), F.desc("_h"))
+    both = old.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1))).withColumn("_h", F.xxhash64(*old.columns))
+    return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_n", "_h")
 
 
-def update_documents(docs: DataFrame, changes: DataFrame) -> DataFrame:
-    """docs with status and error_message of changes (doc_id, status, error_message) where there are any."""
-    c = changes.select(F.col("doc_id").alias("_id"), F.col("status").alias("_s"), F.col("error_message").alias("_e"))
-    return docs.join(c, F.col("doc_id") == F.col("_id"), "left").withColumns({"status": F.coalesce("_s", "status"), "error_message": F.when(F.col("_id").isNotNull(), F.col("_e")).otherwise(F.col("error_message"))}).drop("_id", "_s", "_e")
+def update_documents(docs: DataFrame, changes: DataFrame, at: str | None = None) -> DataFrame:
+    """docs with status and error_message of changes (doc_id, status, error_message) where there are any; of several for a document the latest by `at`, or else the largest."""
+    order = F.struct(*([at] if at else []), "status", "error_message")
+    c = changes.groupBy(F.col("doc_id").alias("_id")).agg(F.max_by(F.struct(F.col("status").alias("s"), F.col("error_message").alias("e")), order).alias("_c"))
+    changed = F.col("_id").isNotNull()
+    return docs.join(c, F.col("doc_id") == F.col("_id"), "left").withColumns({"status": F.coalesce("_c.s", "status"), "error_message": F.when(changed, F.col("_c.e")).otherwise(F.col("error_message"))}).drop("_id", "_c")
 
 
 def find_duplicates(docs: DataFrame) -> DataFrame:
@@ -37,13 +41,34 @@ def get_documents(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def next_versions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """incoming (doc_id, doc_number, source_filename) with version: one more than the largest of rows with its number or its file name."""
-    by = lambda c: stored.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.max("version").alias(f"_v_{c}"))
-    out = incoming
-    for c in ("doc_number", "source_filename"):
-        out = out.join(by(c), F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
-    return out.withColumn("version", F.coalesce(F.greatest("_v_doc_number", "_v_source_filename"), F.lit(0)) + 1).drop("_v_doc_number", "_v_source_filename")
+def next_versions(stored: DataFrame, incoming: DataFrame, arrived: str = "doc_id", rounds: int = 1000) -> DataFrame:
+    """incoming (doc_id, doc_number, source_filename, and `arrived`, an order without ties) with version, as if inserted one after the other.
+
+    A document's version is one more than the largest of the rows before it, stored or arrived, with its number or its file name.
+    So it is the length of the longest chain of arrivals that ends at it, where neighbours share one of the two. A window over
+    a number's (or a name's) arrivals settles whole chains inside it: the running maximum of version less rank, plus rank.
+    Both are repeated until nothing changes, as often as the longest chain goes over from numbers to names and back.
+    """
+    links = ("doc_number", "source_filename")
+    rows = incoming
+    for c in links:  # a null links nothing
+        held = stored.where(F.col(c).isNotNull()).groupBy(F.col(c).alias(f"_{c}")).agg(F.max("version").alias(f"_v_{c}"))
+        rows = rows.join(held, F.col(c) == F.col(f"_{c}"), "left").drop(f"_{c}")
+        rows = rows.withColumn(f"_k_{c}", F.when(F.col(c).isNotNull(), F.concat(F.lit("="), c)).otherwise(F.concat(F.lit("#"), F.col("doc_id").cast("string"))))
+    rows = rows.withColumn("version", (F.coalesce(F.greatest("_v_doc_number", "_v_source_filename"), F.lit(0)) + 1).cast("long")).drop("_v_doc_number", "_v_source_filename")
+    for c in links:
+        rows = rows.withColumn(f"_r_{c}", F.row_number().over(Window.partitionBy(f"_k_{c}").orderBy(arrived)))
+    rows = settle(rows)
+    for _ in range(rounds):
+        new = rows.withColumn("_was", F.col("version"))
+        for c in links:
+            ahead = F.max(F.col("version") - F.col(f"_r_{c}")).over(Window.partitionBy(f"_k_{c}").orderBy(arrived).rowsBetween(Window.unboundedPreceding, 0))
+            new = new.withColumn("version", ahead + F.col(f"_r_{c}"))
+        new = settle(new)
+        rows = new.drop("_was")
+        if new.where("version <> _was").isEmpty():
+            return rows.select(*incoming.columns, "version")
+    raise RuntimeError(f"versions not settled after {rounds} rounds")
 
 
 def delete_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:

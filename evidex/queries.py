@@ -282,7 +282,12 @@ def supplier_registry(spark, sf):
     return stores.register_suppliers(known, s.unionByName(s.select(F.upper("name").alias("name")))).select("supplier_id", "normalized_name")
 
 
-@query("WITH d AS (SELECT doc_id, 'src' || (doc_id % 50) AS doc_number, 'f' || (doc_id % 70) AS source_filename, doc_id % 9 + 1 AS version, doc_id % 2 = 0 AS old FROM documents), a AS (SELECT doc_number, max(version) AS v FROM d WHERE old GROUP BY 1), b AS (SELECT source_filename, max(version) AS v FROM d WHERE old GROUP BY 1) SELECT doc_id, CAST(coalesce(greatest(a.v, b.v), 0) + 1 AS BIGINT) AS version FROM d LEFT JOIN a USING (doc_number) LEFT JOIN b USING (source_filename) WHERE NOT old")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, 'src' || (doc_id % 50) AS doc_number, 'f' || (doc_id % 70) AS source_filename, doc_id % 9 + 1 AS version, doc_id % 2 = 0 AS old FROM documents),
+a AS (SELECT doc_number, max(version) AS v FROM d WHERE old GROUP BY 1), b AS (SELECT source_filename, max(version) AS v FROM d WHERE old GROUP BY 1),
+n AS (SELECT doc_id, doc_number, source_filename, coalesce(greatest(a.v, b.v), 0) + 1 AS first FROM d LEFT JOIN a USING (doc_number) LEFT JOIN b USING (source_filename) WHERE NOT old),
+e AS (SELECT doc_id, lead(doc_id) OVER (PARTITION BY doc_number ORDER BY doc_id) AS then_id FROM n UNION SELECT doc_id, lead(doc_id) OVER (PARTITION BY source_filename ORDER BY doc_id) FROM n),
+r AS (SELECT doc_id, first AS version FROM n UNION SELECT e.then_id, r.version + 1 FROM r JOIN e ON e.doc_id = r.doc_id WHERE e.then_id IS NOT NULL)
+SELECT doc_id, CAST(max(version) AS BIGINT) AS version FROM r GROUP BY 1""")
 def doc_versions(spark, sf):
     d = read_table(spark, sf, "documents").select("doc_id", F.concat(F.lit("src"), F.col("doc_id") % 50).alias("doc_number"), F.concat(F.lit("f"), F.col("doc_id") % 70).alias("source_filename"), (F.col("doc_id") % 9 + 1).alias("version"))
     return stores.next_versions(d.where("doc_id % 2 = 0"), d.where("doc_id % 2 = 1").drop("version")).select("doc_id", F.col("version").cast("long").alias("version"))
