@@ -91,16 +91,26 @@ def read_archive(spark: SparkSession, path: str, with_record: bool = True) -> Da
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record is rebuilt through the join; record_sha256 is of its bytes."""
     path = f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path, with_record=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256"))
 
 
-OP9_SQL = """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
-d AS (SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
-m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS k FROM d)
-SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> k THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> k THEN k END AS refers_to FROM m
+def _urn(x: str) -> str:
+    h = f"md5('page:' || {x})"
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substring({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, url, b, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS k FROM d),
+r AS (SELECT *, payload_bytes >= 100 AND page_id <> k AS again FROM m),
+h AS (SELECT *, array_to_string(list_filter(['WARC/1.1', 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END, 'WARC-Record-ID: ' || {_urn("page_id")}, 'WARC-Date: {DATE}',
+  'WARC-Target-URI: ' || replace(replace(url, chr(13), '%0D'), chr(10), '%0A'), 'WARC-Payload-Digest: sha256:' || payload_digest, CASE WHEN again THEN 'WARC-Refers-To: ' || {_urn("k")} END,
+  CASE WHEN again THEN 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' END, 'X-Page-ID: ' || page_id, CASE WHEN again THEN 'X-Refers-To-Page-ID: ' || k END,
+  'X-Payload-Length: ' || payload_bytes, 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END], lambda x: x IS NOT NULL), chr(13) || chr(10)) AS head FROM r)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN k END AS refers_to,
+  sha256(encode(head || chr(13) || chr(10) || chr(13) || chr(10)) || CASE WHEN again THEN ''::BLOB ELSE b END || encode(chr(13) || chr(10) || chr(13) || chr(10))) AS record_sha256 FROM h
 """
