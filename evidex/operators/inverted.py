@@ -7,6 +7,7 @@ looked for in the vocabulary, by the rarest of their grams, and texts are reache
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -63,22 +64,29 @@ def hashed(rows: DataFrame, keys: list[str], text: str, size: int = 384) -> Data
     return v.withColumn("value", F.col("v") / F.sqrt(F.sum(F.col("v") * F.col("v")).over(w))).drop("v")
 
 
-def _rarest(terms: DataFrame, lists) -> DataFrame:
-    """term, word of lists' vocabulary for every term (column term, not empty): words that contain its longest piece between spaces."""
-    longest = F.aggregate(F.filter(F.split("term", " "), lambda x: x != ""), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
-    asked = terms.select("term", longest.alias("piece")).where("piece <> ''")
+def grams_held(words: DataFrame, grams: DataFrame) -> DataFrame:
+    """gram, word of words (column word, distinct) for the grams asked for (column gram)."""
+    return words.select("word", F.explode(grams_of(F.col("word"))).alias("gram")).join(grams, "gram", "left_semi").select("gram", "word")
+
+
+def holding(asked: DataFrame, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """term, word for every row of asked (term, piece; piece not empty) and word that contains its piece. held: grams (column gram) -> gram, word.
+
+    A piece goes to the words of its rarest gram, all of whose words are then tested.
+    """
     own = asked.select("term", "piece", F.explode(F.when(F.length("piece") >= GRAM, grams_of(F.col("piece"), (GRAM,))).otherwise(F.array("piece"))).alias("gram"))
-    held = lists.gram_words(own.select("gram").distinct())
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
+    lists = held(own.select("gram").distinct())
+    counts = lists.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no word holds is the rarest of all: its term is in no text
     best = own.join(counts, "gram", "left").groupBy("term", "piece").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    return best.join(held, "gram").where(F.contains("word", F.col("piece"))).select("term", "word")
+    return best.join(lists, "gram").where(F.contains("word", F.col("piece"))).select("term", "word")
 
 
 def containing(lists, terms: DataFrame) -> DataFrame:
     """term, doc_id, chunk_index for every term (column term) and chunk whose lower search text contains it."""
-    t = terms.select("term").where("term <> ''").distinct()
-    words = settle(_rarest(t, lists))  # asked for by its buckets, then by its words
+    longest = F.aggregate(F.filter(F.split("term", " "), lambda x: x != ""), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    t = terms.select("term", longest.alias("piece")).where("piece <> ''").distinct()
+    words = settle(holding(t, lists.gram_words))  # asked for by its buckets, then by its words
     found = words.select("term", F.col("word").alias("w"))
     hits = lists.postings((WORD,), words.select(F.col("word").alias("term")).distinct()).select(*KEY, F.col("term").alias("w")).join(found, "w").select("term", *KEY).distinct()
     phrase = F.contains("term", F.lit(" "))
@@ -135,8 +143,7 @@ class Computed:
 
     def gram_words(self, grams: DataFrame) -> DataFrame:
         """gram, word for the grams asked for (column gram)."""
-        words = self.chunks.select(F.explode(terms_of(WORD)).alias("word")).distinct()
-        return words.select("word", F.explode(grams_of(F.col("word"))).alias("gram")).join(grams, "gram", "left_semi").select("gram", "word")
+        return grams_held(self.chunks.select(F.explode(terms_of(WORD)).alias("word")).distinct(), grams)
 
 
 ROWS = "doc_id long, chunk_index int, page_number int, section string, chunk_text string, evidence_type string, doc_type string, doc_number string, supplier_name string, search_text string, part int, segment int"

@@ -11,23 +11,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import vocab as V
-from .inverted import KEY, Computed, Stored, containing, cover_density
+from ..plans.settle import settle
+from .inverted import KEY, Computed, Stored, containing, cover_density, grams_held, holding
 
 
 def _key(kind: str, value: Column) -> Column:
     return F.when(value.isNotNull(), F.concat(F.lit(kind + ":"), value.cast("string")))
 
 
-def _grams(c: Column, n: int = 3) -> Column:
-    """Distinct substrings of n characters."""
-    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+FILTERS = ["f_doc_type", "f_doc_number", "f_supplier_name", "f_month", "f_year", "f_amount", "f_gstin"]
 
 
 def structured(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """query_id, doc_id, place: documents that meet all filters of a query, newest first, at most limit. Queries without a filter have none.
 
-    docs has a row per doc_id. A query meets documents by its most selective filter; a part of a name meets the distinct names
-    first, by its first three characters, and documents by the whole names that hold it.
+    docs has a row per doc_id. Queries with the same filters are asked once. One meets documents by its most selective filter; a part of a
+    name meets the distinct names first, by its rarest three characters, and documents by the whole names that hold it.
     """
     amount = lambda c: F.col(c).cast("decimal(18,2)")
     name, wanted = F.lower("supplier_name"), F.lower("f_supplier_name")
@@ -40,33 +39,43 @@ def structured(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     one = F.coalesce(_key("number", F.col("f_doc_number")), _key("gst", F.col("f_gstin")), _key("amount", amount("f_amount")))
     few = F.when(both, _key("month", F.concat("f_year", F.lit("-"), "f_month")))
     rest = F.coalesce(few, _key("year", F.col("f_year")), _key("any year", F.col("f_month")), _key("type", F.col("f_doc_type")))
-    q = queries.select("query_id", "f_doc_number", "f_gstin", "f_amount", "f_supplier_name", "f_month", "f_year", "f_doc_type", one.alias("one"))
+    every = queries.select("query_id", F.to_json(F.struct(*FILTERS)).alias("same"), *FILTERS)
+    q = every.select(F.col("same").alias("query_id"), *FILTERS).distinct().withColumn("one", one)
     by_name = F.col("one").isNull() & wanted.isNotNull()
     direct = q.where(~by_name).withColumn("qk", F.coalesce("one", rest)).where("qk IS NOT NULL")
-    starts = F.array_distinct(F.concat(F.array(F.lit("")), *[_grams(F.col("n"), size) for size in (1, 2, 3)]))
-    names = docs.select(name.alias("n")).where("n IS NOT NULL").distinct().select("n", F.explode(starts).alias("start"))
-    named = q.where(by_name).join(names, F.substring(wanted, 1, 3) == F.col("start")).where(F.contains("n", wanted)).withColumn("qk", _key("name", F.col("n"))).drop("n", "start")
+    names = docs.select(name.alias("word")).where("word IS NOT NULL").distinct()
+    parts = q.where(by_name & (wanted != "")).select(wanted.alias("term")).distinct().withColumn("piece", F.col("term"))
+    pairs = holding(parts, lambda grams: grams_held(names, grams))
+    named = q.where(by_name).join(pairs, wanted == F.col("term")).withColumn("qk", _key("name", F.col("word"))).drop("word", "term")
     unless = lambda f, test: F.col(f).isNull() | F.coalesce(test, F.lit(False))
     gst = F.coalesce(F.col("gstin") == F.col("f_gstin"), F.lit(False)) | F.coalesce(F.col("buyer_gstin") == F.col("f_gstin"), F.lit(False))
     ok = (unless("f_doc_number", F.col("doc_number") == F.col("f_doc_number")) & unless("f_gstin", gst) & unless("f_amount", amount("amount") == amount("f_amount"))
           & unless("f_supplier_name", F.contains(name, wanted)) & unless("f_month", month == F.col("f_month")) & unless("f_year", year == F.col("f_year")) & unless("f_doc_type", F.col("doc_type") == F.col("f_doc_type")))
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("doc_date"), "doc_id")
     hits = d.join(direct.unionByName(named), F.col("k") == F.col("qk")).where(ok).select("query_id", "doc_id", "doc_date")
-    return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select("query_id", "doc_id", "place")
+    placed = hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit).select(F.col("query_id").alias("same"), "doc_id", "place")
+    return every.select("query_id", "same").join(placed, "same").select("query_id", "doc_id", "place")
 
 
 def exact(docs: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
-    """query_id, doc_id, lookup_score, place for queries with an identifier: number, file name, labelled numbers, then prefixes."""
+    """query_id, doc_id, lookup_score, place for queries with an identifier: number, file name, labelled numbers, then prefixes.
+
+    Documents are keyed by their names' beginnings of just the lengths that are asked for, so an identifier meets only what begins with it, whatever
+    most names begin with.
+    """
     low = lambda c: F.lower(F.col(c))
     extra = lambda k: F.try_element_at("extra_fields", F.lit(k))
-    parts = F.split(F.lower("doc_number"), " ")
-    prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), " "))
-    keys = F.array_distinct(F.filter(F.concat(prefixes, F.array(F.lower(extra("invoice no")), F.lower(extra("invoice number")), F.lower(extra("ewb no")), F.concat(F.lit("file:"), F.substring(F.lower("source_filename"), 1, 3)))), lambda x: x.isNotNull()))
-    d = docs.select("doc_id", "doc_number", "source_filename", extra("invoice no").alias("x1"), extra("invoice number").alias("x2"), extra("ewb no").alias("x3"), F.explode(F.coalesce(keys, F.array().cast("array<string>"))).alias("k"))
     i = F.col("identifier")
-    q = queries.where(i.isNotNull()).select("query_id", "identifier", F.explode(F.array(F.lower(i), F.concat(F.lit("file:"), F.substring(F.lower(i), 1, 3)))).alias("qk"))
-    score = F.when(F.col("doc_number") == i, 1.0).when(F.col("source_filename") == i, 0.98).when(F.col("x1") == i, 0.96).when(F.col("x2") == i, 0.95).when(F.col("x3") == i, 0.9).when(F.startswith(low("doc_number"), F.concat(F.lower(i), F.lit(" "))), 0.88).when(F.startswith(low("source_filename"), F.lower(i)), 0.86)
-    hits = d.join(q, F.col("k") == F.col("qk")).withColumn("lookup_score", score).where("lookup_score IS NOT NULL").select("query_id", "doc_id", "lookup_score").distinct()
+    asked = settle(queries.where(i.isNotNull() & (i != "")).select("query_id", "identifier", F.lower(i).alias("qk")))
+    lengths = sorted(r[0] for r in asked.select(F.length("qk")).distinct().collect())  # a few numbers: lengths of identifiers
+    begins = [F.when(F.length(low("source_filename")) >= n, F.substring(low("source_filename"), 1, n)) for n in lengths]
+    parts = [F.when(F.substring(low("doc_number"), n + 1, 1) == " ", F.substring(low("doc_number"), 1, n)) for n in lengths]
+    whole = [low("doc_number"), *[F.lower(extra(k)) for k in ("invoice no", "invoice number", "ewb no")]]
+    keys = F.array_distinct(F.filter(F.array(*whole, *begins, *parts), lambda x: x.isNotNull()))
+    d = docs.select("doc_id", "doc_number", "source_filename", extra("invoice no").alias("x1"), extra("invoice number").alias("x2"), extra("ewb no").alias("x3"), F.explode(keys).alias("k"))
+    score = (F.when(F.col("doc_number") == i, 1.0).when(F.col("source_filename") == i, 0.98).when(F.col("x1") == i, 0.96).when(F.col("x2") == i, 0.95).when(F.col("x3") == i, 0.9)
+             .when(F.startswith(low("doc_number"), F.concat(F.lower(i), F.lit(" "))), 0.88).when(F.startswith(low("source_filename"), F.lower(i)), 0.86))
+    hits = d.join(asked, F.col("k") == F.col("qk")).withColumn("lookup_score", score).where("lookup_score IS NOT NULL").select("query_id", "doc_id", "lookup_score").distinct()
     w = Window.partitionBy("query_id").orderBy(F.desc("lookup_score"), "doc_id")
     return hits.withColumn("place", F.row_number().over(w)).where(F.col("place") <= limit)
 

@@ -549,18 +549,25 @@ def truth_docs(spark, sf) -> DataFrame:
 FILTER_QUERIES = [(1, "invoice from Supplier 000000007 in Mar 1996"), (2, "bom from Supplier 000000011"), (3, "documents in 1999"), (4, "show invoice total amount 153864.67"), (5, "wireless mouse"), (6, "bills in apr 1997")]
 
 
-@query(f"""WITH {RENDERED}, f(query_id, ty, sup, y, m, am) AS (VALUES (1, 'invoice', 'supplier 000000007', 1996, 3, NULL), (2, 'bom', 'supplier 000000011', NULL, NULL, NULL), (4, 'invoice', NULL, NULL, NULL, 153864.67), (6, NULL, NULL, 1997, 4, NULL)),
+@query(f"""WITH {RENDERED}, f(query_id, ty, sup, y, m, am) AS (VALUES (1, 'invoice', 'supplier 000000007', 1996, 3, NULL), (2, 'bom', 'supplier 000000011', NULL, NULL, NULL), (4, 'invoice', NULL, NULL, NULL, 153864.67), (6, NULL, NULL, 1997, 4, NULL) UNION ALL SELECT 1000 + doc_id, layout, lower(supplier_name), year(doc_date), month(doc_date), NULL FROM rendered WHERE doc_id % 20 = 0 UNION ALL SELECT -1000 - doc_id, NULL, substring(lower(supplier_name), 7, 11), NULL, NULL, NULL FROM rendered WHERE doc_id % 20 = 0),
 k AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_date DESC, doc_id) AS place FROM f, rendered WHERE (ty IS NULL OR layout = ty) AND (sup IS NULL OR contains(lower(supplier_name), sup)) AND (y IS NULL OR year(doc_date) = y) AND (m IS NULL OR month(doc_date) = m) AND (am IS NULL OR amount = am))
 SELECT * FROM k WHERE place <= 200""")
 def structured_filter(spark, sf):
-    q = spark.createDataFrame(FILTER_QUERIES, "query_id long, text string")
+    """Typed queries, and two for every document whose id is divisible by 20: its kind, supplier and month, and a part of its supplier's name."""
+    d = rendered(spark, sf).where("doc_id % 20 = 0")
+    own = d.select((1000 + F.col("doc_id")).alias("query_id"), F.concat_ws(" ", "layout", F.lit("from"), "supplier_name", F.lit("in"), F.date_format("doc_date", "MMM yyyy")).alias("text"))
+    part = d.select((-1000 - F.col("doc_id")).alias("query_id"), F.concat(F.lit("papers from "), F.substring(F.lower("supplier_name"), 7, 11)).alias("text"))
+    q = spark.createDataFrame(FILTER_QUERIES, "query_id long, text string").unionByName(own).unionByName(part)
     docs = settle(truth_docs(spark, sf).select("doc_id", "doc_number", "gstin", "buyer_gstin", "amount", "doc_date", "doc_type", "supplier_name"))  # read twice, as a stored corpus is
     return retrieve.structured(docs, settle(router.with_filters(q)), 200).withColumn("place", F.col("place").cast("long"))
 
 
-@query(f"WITH {RENDERED}, q(query_id, i) AS (VALUES (1, 'INV-00000501'), (2, 'BOM-00000505'), (3, 'inv-00000502'), (4, 'INV-000005')), h AS (SELECT query_id, doc_id, CASE WHEN doc_number = i THEN 1.0 WHEN lower(doc_number) || '.pdf' = i THEN 0.98 WHEN starts_with(lower(doc_number) || '.pdf', lower(i)) THEN 0.86 END AS lookup_score FROM q, rendered), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lookup_score DESC, doc_id) AS place FROM h WHERE lookup_score IS NOT NULL) SELECT query_id, doc_id, CAST(lookup_score AS DOUBLE) AS lookup_score, place FROM k WHERE place <= 20")
+@query(f"WITH {RENDERED}, q(query_id, i) AS (VALUES (1, 'INV-00000501'), (2, 'BOM-00000505'), (3, 'inv-00000502'), (4, 'INV-000005') UNION ALL SELECT 1000 + doc_id, doc_number FROM rendered WHERE doc_id % 20 = 0 UNION ALL SELECT -1000 - doc_id, lower(doc_number[:11]) FROM rendered WHERE doc_id % 20 = 0), h AS (SELECT query_id, doc_id, CASE WHEN doc_number = i THEN 1.0 WHEN lower(doc_number) || '.pdf' = i THEN 0.98 WHEN starts_with(lower(doc_number) || '.pdf', lower(i)) THEN 0.86 END AS lookup_score FROM q, rendered), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY lookup_score DESC, doc_id) AS place FROM h WHERE lookup_score IS NOT NULL) SELECT query_id, doc_id, CAST(lookup_score AS DOUBLE) AS lookup_score, place FROM k WHERE place <= 20")
 def exact_lookup(spark, sf):
+    """Typed identifiers, and for every document whose id is divisible by 20 its number and the number's first 11 characters."""
     q = spark.createDataFrame([(1, "INV-00000501"), (2, "BOM-00000505"), (3, "inv-00000502"), (4, "INV-000005")], "query_id long, identifier string")
+    d = rendered(spark, sf).where("doc_id % 20 = 0")
+    q = q.unionByName(d.select((1000 + F.col("doc_id")).alias("query_id"), F.col("doc_number").alias("identifier"))).unionByName(d.select((-1000 - F.col("doc_id")).alias("query_id"), F.lower(F.substring("doc_number", 1, 11)).alias("identifier")))
     return retrieve.exact(truth_docs(spark, sf), q).select("query_id", "doc_id", F.col("lookup_score").cast("double").alias("lookup_score"), F.col("place").cast("long").alias("place"))
 
 
