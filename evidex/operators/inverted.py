@@ -75,7 +75,7 @@ def holding(asked: DataFrame, held: Callable[[DataFrame], DataFrame]) -> DataFra
     A piece goes to the words of its rarest gram, all of whose words are then tested.
     """
     own = asked.select("term", "piece", F.explode(F.when(F.length("piece") >= GRAM, grams_of(F.col("piece"), (GRAM,))).otherwise(F.array("piece"))).alias("gram"))
-    lists = held(own.select("gram").distinct())
+    lists = settle(held(own.select("gram").distinct()))  # counted, then joined
     counts = lists.groupBy("gram").agg(F.count("*").alias("n"))
     # a gram that no word holds is the rarest of all: its term is in no text
     best = own.join(counts, "gram", "left").groupBy("term", "piece").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
@@ -125,7 +125,11 @@ class Computed:
         return self.chunks
 
     def postings(self, fields: tuple[str, ...], terms: DataFrame) -> DataFrame:
-        """KEY, field, term, tf, len, places of the terms (column term) in fields."""
+        """KEY, field, term, tf, len, places of the terms (column term) in fields; of WORD alone only which chunks hold them."""
+        if fields == (WORD,):
+            none = F.lit(None).cast("int")
+            one = self.chunks.select(*KEY, F.lit(WORD).alias("field"), F.explode(F.array_distinct(terms_of(WORD))).alias("term"), none.alias("tf"), none.alias("len"), F.lit(None).cast("array<int>").alias("places"))
+            return one.join(terms.select("term").distinct(), "term", "left_semi")
         return listed(self.chunks, fields, self.whole).join(terms.select("term").distinct(), "term", "left_semi")
 
     def frequencies(self, fields: tuple[str, ...], terms: DataFrame) -> DataFrame:

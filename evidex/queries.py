@@ -442,7 +442,7 @@ SCORED = scored_sql("sc", "sc")
 
 @query(f"WITH {BATCH_SQL}, {ROW_CHUNKS}, {TERMS}, {SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_index) AS rank FROM sc) SELECT query_id, doc_id, chunk_index, score, rank FROM k WHERE rank <= 20")
 def lexical_score(spark, sf):
-    scored = retrieve.term_scored(row_chunks(spark, sf), router.routed(batch(spark)))
+    scored = retrieve.term_scored(settle(row_chunks(spark, sf)), settle(router.routed(batch(spark))))  # read several times, as a stored corpus is
     return index.top_k(scored, 20).withColumn("chunk_index", F.col("chunk_index").cast("long"))
 
 
@@ -586,8 +586,8 @@ HIT_ROWS = f"""{BATCH_SQL}, {ROW_CHUNKS}, {TERMS}, {SCORED}, tp AS (SELECT * FRO
 
 
 def row_hits(spark, sf) -> tuple[DataFrame, DataFrame]:
-    plan = router.executed(router.routed(batch(spark)))
-    c = row_chunks(spark, sf)
+    plan = settle(router.executed(router.routed(batch(spark))))
+    c = settle(row_chunks(spark, sf))  # read several times, as a stored corpus is
     top = index.top_k(retrieve.term_scored(c, plan), 40).select("query_id", *retrieve.KEY, "score", F.array(F.lit("postgres_keyword")).alias("sources"))
     return plan, retrieve.hydrate(top, c, truth_docs(spark, sf))
 
