@@ -774,6 +774,23 @@ def search_answers(spark, sf):
     return answer.answers(hits, plan)
 
 
+RESPONSES = """g0 AS (SELECT query_id, rank, doc_id, chunk_index, CASE WHEN list_contains(sources, 'exact') THEN 1.0 ELSE score END AS conf,
+  CASE WHEN list_contains(sources, 'exact') OR score >= 0.9 THEN 'high' WHEN score >= 0.55 THEN 'medium' ELSE 'low' END AS label FROM fh),
+g AS (SELECT query_id, count(*) AS result_count, arg_min(label, rank) AS label, round(arg_min(conf, rank), 3) AS confidence, string_agg(doc_id || ':' || chunk_index, ',' ORDER BY rank) FILTER (rank <= 3) AS evidence,
+  string_agg(doc_id || ':' || chunk_index, ',' ORDER BY rank) FILTER (rank > 1) AS more FROM g0 GROUP BY 1)"""
+
+
+@query(BEGIN + f", {SOURCES}, {SEARCH}, {ANSWERS}, {RESPONSES} SELECT rq.query_id, rq.route, coalesce(CASE WHEN rq.route = 'exact_match' THEN nullif('deterministic', CASE WHEN exact IS NULL THEN 'deterministic' END) WHEN rowa IS NOT NULL THEN 'extractive_row' WHEN extract IS NOT NULL THEN 'extractive' END, 'none') AS backend, coalesce(result_count, 0)::BIGINT AS result_count, coalesce(label = 'low', false) AS review_recommended, label AS confidence_label, confidence::DOUBLE AS confidence, coalesce(evidence, '') AS evidence, coalesce(more, '') AS more_matches FROM rq LEFT JOIN g USING (query_id) LEFT JOIN an2 USING (query_id)")
+def search_responses(spark, sf):
+    """Responses of the whole search: number of hits, evidence (the first three), further matches, confidence and whether to review; queries without hits, too."""
+    plan, hits = search.search(kept_index(spark, sf), search_batch(spark), 5)
+    r = answer.responses(hits, plan)
+    at = lambda c: F.coalesce(F.array_join(F.transform(c, lambda h: F.concat(h["doc_id"].cast("string"), F.lit(":"), h["chunk_index"].cast("string"))), ","), F.lit(""))
+    best = F.try_element_at("hits", F.lit(1))["confidence"]
+    more = F.slice("hits", 2, F.greatest(F.size("hits") - 1, F.lit(0)))
+    return r.select("query_id", "route", "backend", F.col("result_count").cast("long").alias("result_count"), "review_recommended", best["label"].alias("confidence_label"), F.round(best["score"].cast("double"), 3).alias("confidence"), at(F.col("evidence")).alias("evidence"), at(more).alias("more_matches"))
+
+
 # ---- answers, evaluation ----
 @query(f"WITH {RENDERED} SELECT doc_id, 'Found ' || doc_number || '. File: ' || lower(doc_number) || '.pdf. Location: store/' || doc_number || '. Supplier: ' || supplier_name || '. Amount: ' || CAST(amount AS VARCHAR) || ' INR. Date: ' || strftime(doc_date, '%Y-%m-%d') || '. Evidence: page 1.' AS answer FROM rendered")
 def exact_answers(spark, sf):
