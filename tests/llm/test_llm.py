@@ -478,7 +478,7 @@ def test_warc(spark, tmp_path):
     path = str(tmp_path / "arc")
     warc.write_archive(d, path)
     r = warc.read_archive(spark, path)
-    same(r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").where("page_id IS NOT NULL").toPandas(), duck(warc.OP9_SQL, pages=d.where("page_id IS NOT NULL").toPandas().astype({"page_id": "int64"})))
+    same(r.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", F.sha2("record", 256).alias("record_sha256")).where("page_id IS NOT NULL").toPandas(), duck(warc.OP9_SQL, pages=d.where("page_id IS NOT NULL").toPandas().astype({"page_id": "int64"})))
     recs = {x.page_id: x for x in r.collect()}
     assert len(r.collect()) == len(rows) and recs[3].record.endswith(big.encode() + b"\r\n\r\n") and recs[9].refers_to == 3 and recs[9].url is None and bytes(recs[3].payload) == big.encode()
     assert spark.read.parquet(path + "/blobs").count() == len({(h or "").encode() for _, _, h in rows})
