@@ -84,40 +84,66 @@ def _units(lists, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     return m / norms[:, None], sizes
 
 
-def _scorer(ids: list, query_type: pa.DataType, vectors: pa.Array, k: int, rows: int = 2048):
-    """A mapInArrow function: the k best (query_id, vec_id, score) of a partition for every query, ties to the smaller vec_id."""
-    q, q_sizes = _units(vectors)
+def _best(vec: np.ndarray, u: np.ndarray, sizes: np.ndarray, q: np.ndarray, q_sizes: np.ndarray, k: int, rows: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    """score (in millionths) and vec_id of the k best vectors of every query, ties to the smaller vec_id. vec is ascending; u, q: rows of length 1."""
+    score, found = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0), np.int64)
+    alike = len(set(sizes.tolist()) | set(q_sizes.tolist())) == 1
+    for at in range(0, len(vec), rows):
+        v = vec[at : at + rows]
+        s = np.rint(q @ u[at : at + rows].T * 1e6).astype(np.int64)
+        if not alike:
+            s[q_sizes[:, None] != sizes[None, at : at + rows]] = 0
+        key = (s << 32) - np.arange(len(v))  # by score, then by vec_id
+        best = np.argpartition(key, len(v) - min(k, len(v)), axis=1)[:, -min(k, len(v)) :]
+        score, found = np.hstack([score, np.take_along_axis(s, best, 1)]), np.hstack([found, v[best]])
+        keep = np.lexsort((found, -score), axis=1)[:, :k]
+        score, found = np.take_along_axis(score, keep, 1), np.take_along_axis(found, keep, 1)
+    return score, found
+
+
+def _search_cells(k: int):
+    """A mapInArrow function over rows by (cell, tag): the vectors of a cell (tag 0), then the query blocks that visit it (tag 1)."""
 
     def run(batches):
-        score, vec = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0), np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                v = part.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(v, kind="stable")
-                u, sizes = _units(part.column(1).take(pa.array(order)), q.shape[1])
-                s = np.rint(q @ u.T * 1e6).astype(np.int64)
-                if len(set(sizes.tolist()) | set(q_sizes.tolist())) > 1:
-                    s[q_sizes[:, None] != sizes[None, :]] = 0
-                key = (s << 32) - np.arange(len(v))  # by score, then by vec_id
-                best = np.argpartition(key, len(v) - min(k, len(v)), axis=1)[:, -min(k, len(v)) :]
-                score, vec = np.hstack([score, np.take_along_axis(s, best, 1)]), np.hstack([vec, v[order][best]])
-                keep = np.lexsort((vec, -score), axis=1)[:, :k]
-                score, vec = np.take_along_axis(score, keep, 1), np.take_along_axis(vec, keep, 1)
-        n = score.shape[1]
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, query_type).take(pa.array(np.repeat(np.arange(len(ids)), n))), pa.array(vec.ravel()), pa.array(score.ravel() / 1e6)], ["query_id", "vec_id", "score"])
+        cell, ids, lists, ready = None, [], [], None
+        for b in batches:
+            cells, tags = b.column("cell").to_numpy(), b.column("tag").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(tags) != 0)) + 1), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if cells[lo] != cell:
+                    cell, ids, lists, ready = cells[lo], [], [], None
+                part = b.slice(lo, hi - lo)
+                if tags[lo] == 0:
+                    ids.append(part.column("vec_id").to_numpy())
+                    lists.append(part.column("embedding"))
+                    continue
+                if not ids:  # a cell without vectors
+                    continue
+                if ready is None:
+                    vec, held = np.concatenate(ids), pa.concat_arrays(lists)
+                    order = np.argsort(vec, kind="stable")
+                    ready, lists = (vec[order], *_units(held.take(pa.array(order)))), []
+                vec, u, sizes = ready
+                for i in range(part.num_rows):
+                    block = part.column("qs").slice(i, 1).flatten()
+                    q, q_sizes = _units(block.field("q"), u.shape[1])
+                    score, found = _best(vec, u, sizes, q, q_sizes, k)
+                    n = score.shape[1]
+                    yield pa.RecordBatch.from_arrays([block.field("query_id").take(pa.array(np.repeat(np.arange(len(block)), n))), pa.array(found.ravel()), pa.array(score.ravel() / 1e6)], ["query_id", "vec_id", "score"])
 
     return run
 
 
-def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 1024, allowed: DataFrame | None = None) -> DataFrame:
+def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: int | None = None, block: int = 256, allowed: DataFrame | None = None, cell_bytes: int = 16 << 20) -> DataFrame:
     """query_id, vec_id (long), score, rank by exact cosine to 6 places, ties to the smaller vec_id.
 
-    queries (query_id, q) go to the tasks in blocks of about `block` rows: a task multiplies a batch of vectors by a block and
-    keeps k rows a query, so k rows a query and partition are shuffled, not all scores. A score is 0 where a vector or query is
-    null, zero, of another length, or holds null or non-finite components. most_queries, if given, refuses more queries than
-    that. allowed (query_id, vec_id): only these pairs are scored, by equi-joins. Rows without a vec_id take no part.
+    Vectors lie in cells of about cell_bytes; queries (query_id, q) are packed in rows of about `block`, and each of these visits
+    every cell, where it is multiplied with the cell's vectors and leaves k rows a query. Nothing passes through the driver, and the plan is
+    the same for any number of queries; what moves is the vectors once, the queries once a cell, and k rows a query and cell. A score is 0 where a
+    vector or query is null, zero, of another length, or holds null or non-finite components. most_queries, if given, refuses more
+    queries than that. allowed (query_id, vec_id): only these pairs are scored, by equi-joins. Rows without a vec_id take no part.
     """
     if most_queries is not None and queries.limit(most_queries + 1).count() > most_queries:
         raise ValueError(f"more than {most_queries} query vectors: search them in batches")
@@ -125,14 +151,12 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int, most_queries: i
     if allowed is not None:
         pairs = allowed.select("query_id", "vec_id").distinct().join(queries.select("query_id", "q"), "query_id").join(rows, "vec_id")
         return top_k(pairs.select("query_id", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), k, ("vec_id",))
-    blocks = max(1, -(-queries.count() // block))
-    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id long, score double"
-    out = None
-    for b in range(blocks):
-        some = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        held = some.select("query_id", F.col("q").cast("array<double>").alias("q")).toArrow().combine_chunks()
-        ids, q = held.column("query_id").combine_chunks(), held.column("q").combine_chunks()
-        best = rows.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(_scorer(ids.to_pylist(), ids.type, q, k), schema)
-        best = top_k(best, k, ("vec_id",))
-        out = best if out is None else out.unionByName(best)
-    return out
+    held = rows.agg(F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()[0] * 8
+    cells, blocks = max(1, -(-held // cell_bytes)), max(1, -(-queries.count() // block))
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = f"array<struct<query_id: {kind}, q: array<double>>>"
+    packed = queries.select("query_id", F.col("q").cast("array<double>").alias("q")).groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
+    visits = packed.select(F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"), F.lit(1).alias("tag"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), F.col("qs").cast(asked).alias("qs"))
+    own = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int").alias("cell"), F.lit(0).alias("tag"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast(asked).alias("qs"))
+    met = own.unionByName(visits).repartition(int(cells), "cell").sortWithinPartitions("cell", "tag")
+    return top_k(met.mapInArrow(_search_cells(k), f"query_id {kind}, vec_id long, score double"), k, ("vec_id",))

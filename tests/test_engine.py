@@ -184,6 +184,7 @@ def test_vector_blocks(spark):
     key = lambda d: sorted(tuple(r) for r in d.collect())
     got = key(index.vector_top_k(e, q, 4, block=25))
     assert len(got) == 240 and got == key(index.vector_top_k(e, q, 4))
+    assert got == key(index.vector_top_k(e, q, 4, block=7, cell_bytes=3000))  # many cells
     many = spark.range(1100).selectExpr("id AS query_id", "array(1.0F, CAST(id AS FLOAT), 2.0F) AS q")
     assert index.vector_top_k(e, many, 2).count() == 2200
 
