@@ -33,7 +33,7 @@ def structured(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     year, month = F.year("doc_date"), F.month("doc_date")
     both = F.col("f_month").isNotNull() & F.col("f_year").isNotNull()
     kinds = [_key("number", F.col("doc_number")), _key("gst", F.col("gstin")), _key("gst", F.col("buyer_gstin")), _key("amount", amount("amount")), _key("name", name),
-             _key("month", F.concat(year, F.lit("-"), month)), _key("year", year), _key("any year", month), _key("type", F.col("doc_type"))]
+             _key("month", F.concat(year, F.lit("-"), month)), _key("year", year), _key("any year", month), _key("type", F.col("doc_type")), F.when(name.isNotNull(), "named")]
     keys = F.array_distinct(F.filter(F.array(*kinds), lambda x: x.isNotNull()))
     d = docs.select("doc_id", "doc_number", "gstin", "buyer_gstin", "amount", "doc_date", "doc_type", "supplier_name", F.explode(keys).alias("k"))
     one = F.coalesce(_key("number", F.col("f_doc_number")), _key("gst", F.col("f_gstin")), _key("amount", amount("f_amount")))
@@ -41,10 +41,10 @@ def structured(docs: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     rest = F.coalesce(few, _key("year", F.col("f_year")), _key("any year", F.col("f_month")), _key("type", F.col("f_doc_type")))
     every = queries.select("query_id", F.to_json(F.struct(*FILTERS)).alias("same"), *FILTERS)
     q = every.select(F.col("same").alias("query_id"), *FILTERS).distinct().withColumn("one", one)
-    by_name = F.col("one").isNull() & wanted.isNotNull()
-    direct = q.where(~by_name).withColumn("qk", F.coalesce("one", rest)).where("qk IS NOT NULL")
+    by_name = F.col("one").isNull() & F.coalesce(wanted != "", F.lit(False))
+    direct = q.where(~by_name).withColumn("qk", F.coalesce("one", rest, F.when(wanted == "", "named"))).where("qk IS NOT NULL")
     names = docs.select(name.alias("word")).where("word IS NOT NULL").distinct()
-    parts = q.where(by_name & (wanted != "")).select(wanted.alias("term")).distinct().withColumn("piece", F.col("term"))
+    parts = q.where(by_name).select(wanted.alias("term")).distinct().withColumn("piece", F.col("term"))
     pairs = holding(parts, lambda grams: grams_held(names, grams))
     named = q.where(by_name).join(pairs, wanted == F.col("term")).withColumn("qk", _key("name", F.col("word"))).drop("word", "term")
     unless = lambda f, test: F.col(f).isNull() | F.coalesce(test, F.lit(False))
