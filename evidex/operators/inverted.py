@@ -157,7 +157,7 @@ VECTORS = "doc_id long, chunk_index int, slot int, value double, bucket int, seg
 GRAMS = "gram string, word string, bucket int, segment int"
 SIZES = "field string, chunks long, terms long, segment int"
 GONE = "doc_id long, segment int"
-STATES = "segments array<int>, state int"
+STATES = "segments array<int>, buckets int, state int"
 
 
 class Stored:
@@ -167,7 +167,8 @@ class Stored:
     frequencies), grams and vectors (by bucket of their term or slot), sizes (changes of totals) and gone (documents whose rows in earlier
     segments are dead). states lists the segments a reader takes; it is written last, so a change that was cut off is never seen and
     is overwritten by the next. One writer at a time. compact() writes all that lives as one segment. An object stays at the state
-    that it has read first, or made; refresh() takes the newest.
+    that it has read first, or made; refresh() takes the newest. buckets is the number for a new index, to be chosen by its size
+    (a bucket's files are sorted, so a read for few terms skips most of a large one); an index that is there keeps its own.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
@@ -193,7 +194,10 @@ class Stored:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             r = None
-        return (r["state"], list(r["segments"])) if r else (0, [])
+        if r is None:
+            return 0, []
+        self.buckets = r["buckets"]  # what the index was begun with
+        return r["state"], list(r["segments"])
 
     def _table(self, name: str, schema: str, segments: list[int]) -> DataFrame:
         if not segments:
@@ -268,7 +272,7 @@ class Stored:
 
     def _change(self, new: DataFrame | None, ids: DataFrame) -> None:
         """A segment that holds new (chunks) and ends what earlier segments hold of documents ids (doc_id)."""
-        state, segments = self.state()
+        state, segments = self.refresh().state()
         n = state + 1
         part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(self.buckets)).cast("int")
         columns = [c.split()[0] for c in ROWS.split(", ")][:-2]
@@ -301,7 +305,7 @@ class Stored:
         self._set(n, [*segments, n])
 
     def _set(self, state: int, segments: list[int]) -> None:
-        self.spark.createDataFrame([(segments,)], "segments array<int>").coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/states/state={state}")
+        self.spark.createDataFrame([(segments, self.buckets)], "segments array<int>, buckets int").coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/states/state={state}")
         self.refresh()._state = (state, segments)
 
     def add(self, chunks: DataFrame) -> Stored:
@@ -316,7 +320,7 @@ class Stored:
 
     def compact(self) -> Stored:
         """All that lives as one segment; earlier files stay for readers that hold an earlier state."""
-        state, segments = self.state()
+        state, segments = self.refresh().state()
         n = state + 1
         read = lambda name, schema: self._table(name, schema, segments)
         self._write(self._live(read("rows", ROWS), segments).drop("segment"), "rows", n, "part")

@@ -79,10 +79,10 @@ def test_searches_read_the_buckets_of_their_terms(spark, kept):
 def test_a_cut_off_change_is_not_seen_and_compaction_keeps_all(spark, kept, tmp_path):
     _, rows = kept
     stored = inverted.Stored(spark, str(tmp_path / "i"), buckets=4).add(spark.createDataFrame(rows[:30], CHUNK))
-    reader = inverted.Stored(spark, stored.root, buckets=4)
+    reader = inverted.Stored(spark, stored.root, buckets=9)
     assert sorted(map(tuple, reader.rows().select("doc_id", "chunk_index").collect())) == sorted((r[0], r[1]) for r in rows[:30])
     stored._write(spark.createDataFrame(chunk_rows(9, range(500, 505)), CHUNK).withColumn("part", F.lit(0)), "rows", 2, "part")  # no state names it
-    assert stored.refresh().rows().count() == 30
+    assert stored.refresh().rows().count() == 30 and reader.buckets == 4  # as the index was begun
     stored.add(spark.createDataFrame([r for r in rows if r[0] >= rows[29][0]], CHUNK)).delete(spark.createDataFrame([(rows[0][0],)], "doc_id long"))
     assert reader.rows().count() == 30 and reader.refresh().rows().count() == stored.rows().count()
     terms = spark.createDataFrame([(t,) for t in ("seat", "12", "o")], "term string")
