@@ -82,18 +82,46 @@ def holding(asked: DataFrame, held: Callable[[DataFrame], DataFrame]) -> DataFra
     return best.join(lists, "gram").where(F.contains("word", F.col("piece"))).select("term", "word")
 
 
-def containing(lists, terms: DataFrame) -> DataFrame:
-    """term, doc_id, chunk_index for every term (column term) and chunk whose lower search text contains it."""
+def _words_with(lists, terms: DataFrame) -> DataFrame:
+    """term, w for every term (column term) and word of lists that contains its longest piece between spaces."""
     longest = F.aggregate(F.filter(F.split("term", " "), lambda x: x != ""), F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     t = terms.select("term", longest.alias("piece")).where("piece <> ''").distinct()
-    words = settle(holding(t, lists.gram_words))  # asked for by its buckets, then by its words
-    found = words.select("term", F.col("word").alias("w"))
-    hits = lists.postings((WORD,), words.select(F.col("word").alias("term")).distinct()).select(*KEY, F.col("term").alias("w")).join(found, "w").select("term", *KEY).distinct()
+    return settle(holding(t, lists.gram_words)).select("term", F.col("word").alias("w"))  # asked for by its buckets, then by its words
+
+
+def _word_chunks(lists, found: DataFrame) -> DataFrame:
+    return lists.postings((WORD,), found.select(F.col("w").alias("term")).distinct()).select(*KEY, F.col("term").alias("w"))
+
+
+def containing(lists, terms: DataFrame) -> DataFrame:
+    """term, doc_id, chunk_index for every term (column term) and chunk whose lower search text contains it."""
+    found = _words_with(lists, terms)
+    hits = _word_chunks(lists, found).join(found, "w").select("term", *KEY).distinct()
     phrase = F.contains("term", F.lit(" "))
     checked = hits.where(phrase).join(lists.rows().select(*KEY, F.lower("search_text").alias("body")), KEY).where(F.contains("body", F.col("term")))
     return hits.where(~phrase).unionByName(checked.drop("body"))
 
 
+def contained(lists, asked: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """query_id, doc_id, chunk_index, numeric, textual: how many terms of asked (query_id, term), with a digit and without, a chunk contains. keep: filter of (query_id, KEY, ...).
+
+    A chunk's words stand together where they are read, so the numbers of its terms (negative without a digit) are gathered there as a set for each query,
+    and a row for each query and chunk is shuffled, not one for each term. Terms with spaces are verified on texts, by `containing`.
+    """
+    plain = asked.where(~F.contains("term", F.lit(" ")))
+    names = plain.select("term").distinct().withColumn("id", F.xxhash64("term").bitwiseAND(F.lit((1 << 62) - 1)) + 1)
+    found = _words_with(lists, plain)
+    ids = found.join(plain, "term").join(names, "term").select("w", "query_id", F.when(F.col("term").rlike(r"\d"), F.col("id")).otherwise(-F.col("id")).alias("id"))
+    one = keep(_word_chunks(lists, found).join(ids, "w")).groupBy("query_id", *KEY).agg(F.collect_set("id").alias("s"))
+    one = one.select("query_id", *KEY, F.size(F.filter("s", lambda x: x > 0)).alias("numeric"), F.size(F.filter("s", lambda x: x < 0)).alias("textual"))
+    phrases = settle(asked.where(F.contains("term", F.lit(" "))))
+    if phrases.isEmpty():
+        return one
+    number = F.col("term").rlike(r"\d").cast("int")
+    more = keep(containing(lists, phrases).join(phrases, "term")).select("query_id", *KEY, number.alias("numeric"), (1 - number).alias("textual"))
+    return one.unionByName(more).groupBy("query_id", *KEY).agg(F.sum("numeric").alias("numeric"), F.sum("textual").alias("textual"))
+
+
 def cover_density(places: Column, n: Column, weight: float = 0.1) -> Column:
     """Sum over all minimal covers of weight / (1 + words of others inside), for places: array of (at, term) of the asked words in a text, n: number of asked words.
 

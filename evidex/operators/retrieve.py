@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import vocab as V
 from ..plans.settle import settle
-from .inverted import KEY, Computed, Stored, containing, cover_density, grams_held, holding
+from .inverted import KEY, Computed, Stored, contained, cover_density, grams_held, holding
 
 
 def _key(kind: str, value: Column) -> Column:
@@ -92,9 +92,7 @@ def term_scored(lists: DataFrame | Computed | Stored, queries: DataFrame, allowe
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.array_join("text_terms", " ")), F.lit("[a-z0-9]+"), F.lit(0)))
     q = queries.select("query_id", asked.alias("asked"), words.alias("words"))
     terms = q.select("query_id", F.explode(F.array_distinct("asked")).alias("term"))
-    hits = only_allowed(containing(lists, terms).join(terms, "term"), allowed, bound)
-    number = F.col("term").rlike(r"\d").cast("int")
-    hits = hits.groupBy("query_id", *KEY).agg(F.sum(number).alias("numeric"), F.sum(1 - number).alias("textual"))
+    hits = contained(lists, terms, lambda d: only_allowed(d, allowed, bound))
     own = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("term"))
     at = only_allowed(lists.postings(("search_text",), own.select("term").distinct()).select(*KEY, "term", "places").join(own, "term"), allowed, bound)
     at = at.groupBy("query_id", *KEY, "n").agg(F.collect_list(F.struct("term", "places")).alias("p")).where(F.size("p") == F.col("n"))
