@@ -2,11 +2,15 @@
 
 Random strings are cut into short tokens by a vocabulary learned from text, so their characters per token
 are few. Candidates are runs of 20 or more characters of [A-Za-z0-9+/_=-] with a digit and a letter. UUIDs
-and spans of the patterns are cut out, and what is left on each side is a run of its own. Known digests (hex of
-32, 40, 64, 96 or 128 characters, with or without a name such as sha256-) are excluded, as a run and as a part
-of one. A run with fewer than max_ratio characters per token is a span of kind `token`; of any other run each
-part of 20 or more characters between '/', '_', '-' and '=' is scored alone, so words before or
-behind a random string don't hide it.
+and spans of the patterns are cut out, and what is left on each side is a run of its own. A run with fewer than
+max_ratio characters per token is a span of kind `token` (hexadecimal runs, whose digits often share a token, with
+fewer than HEX_RATIO times as many); of any other run each part of 20 or more characters between '/', '_', '-' and '='
+is scored alone, so words before or behind a random string don't hide it.
+
+Excluded are known digests: hex of a digest's length that a name (sha256-, md5:, checksum, etag, commit ...) stands
+before, in the run or within 24 characters of it, and the digests of nothing. Hex of such a length without a name is
+not known. Excluded are identifiers, too: runs with a date, and runs of four or more groups between separators of which
+none is over 10 characters (part numbers, product keys, ISBNs).
 
 Edge cases: null and empty texts have no spans; texts are scanned whole; repeated rows are scanned each;
 further columns are carried along untouched by `scan`.
@@ -32,7 +36,17 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 PART = re.compile(r"[A-Za-z0-9+]{20,}")
 LEAST = 20
 UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-DIGEST = re.compile(r"(?:(?:md5|sha1|sha256|sha384|sha512)[-=_])?(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})", re.A)
+_HEX = r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
+_NAMES = r"(?:md5|sha-?[0-9]{1,3}|checksum|digest|etag|commit|revision|fingerprint|integrity)(?:sum)?"
+DIGEST = re.compile(_HEX, re.A)
+NAMED = re.compile(_NAMES + "[-=_]" + _HEX, re.A | re.I)
+#: What names a digest, directly before it.
+NAME = re.compile(_NAMES + r"[\"']?\s{0,2}[-:=(_]?\s{0,2}[\"']?$", re.A | re.I)
+BEFORE = 24
+DATE = re.compile(r"(?<![0-9])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9])")
+EMPTY = frozenset(hashlib.new(n).hexdigest() for n in ("md5", "sha1", "sha256", "sha384", "sha512"))
+HEXADECIMAL = re.compile(r"[0-9A-Fa-f]+")
+HEX_RATIO = 1.15
 ORDER = {"assign": 0, "access": 1, "hex": 2, "token": 3}
 MAX_RATIO = 2.0
 
@@ -62,10 +76,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def known(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is a digest with a name, the digest of nothing, or an identifier in groups."""
+    run = text[start:end]
+    if NAMED.fullmatch(run) or DATE.search(run):
+        return True
+    if DIGEST.fullmatch(run):
+        return run.lower() in EMPTY or NAME.search(text, max(0, start - BEFORE), start) is not None
+    groups = re.split(r"[-_/=]+", run.strip("-_/="))
+    return len(groups) >= 4 and max(map(len, groups)) <= 10
+
+
 def random_like(run: str, encoder, max_ratio: float) -> bool:
-    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or DIGEST.fullmatch(run):
+    if not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run):
         return False
-    return len(run) / len(encoder.encode_ordinary(run)) < max_ratio
+    return len(run) / len(encoder.encode_ordinary(run)) < max_ratio * (HEX_RATIO if HEXADECIMAL.fullmatch(run) else 1)
 
 
 def token_spans(text: str, taken: list[tuple[str, int, int]], encoder, max_ratio: float = MAX_RATIO) -> list[tuple[str, int, int]]:
@@ -77,10 +102,11 @@ def token_spans(text: str, taken: list[tuple[str, int, int]], encoder, max_ratio
         for a, z in [*sorted(cuts), (m.end(), m.end())]:
             if a - at >= LEAST:
                 run = text[at:a]
-                if random_like(run, encoder, max_ratio):
+                if not known(text, at, a) and random_like(run, encoder, max_ratio):
                     out.append(("token", at, a))
-                elif not DIGEST.fullmatch(run):
-                    out += [("token", at + p.start(), at + p.end()) for p in PART.finditer(run) if p.end() - p.start() < len(run) and random_like(p[0], encoder, max_ratio)]
+                else:
+                    parts = [(at + p.start(), at + p.end()) for p in PART.finditer(run) if p.end() - p.start() < len(run)]
+                    out += [("token", b, e) for b, e in parts if not known(text, b, e) and random_like(text[b:e], encoder, max_ratio)]
             at = max(at, z)
     return out
 

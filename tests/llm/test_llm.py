@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import string
 import re
 import zlib
 
@@ -435,6 +436,36 @@ def test_secrets_inside_longer_runs():
         assert not [s for s in secrets.spans(t, encoder)[1] if s[0] == "token"], t
 
 
+ALPHABETS = {"letters and digits": string.ascii_letters + string.digits, "base64": string.ascii_letters + string.digits + "+/", "url": string.ascii_letters + string.digits + "-_", "HEX": "0123456789ABCDEF", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits}
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+def test_secrets_recall_by_alphabet_and_length(alphabet):
+    """All random strings count, those that the score rejects and those of a digest's length, too."""
+    rng, encoder = random.Random(alphabet), secrets.vocabulary()
+    for n, least in ((20, 0.93), (24, 0.95), (32, 0.95), (40, 0.95), (64, 0.95), (96, 0.95), (128, 0.95)):
+        found = 0
+        for _ in range(200):
+            x = "".join(rng.choice(ALPHABETS[alphabet]) for _ in range(n))
+            found += any(a <= 8 and 8 + n <= z for _, a, z in secrets.spans(f"the key {x} is old", encoder)[1])
+        assert found >= least * 200, (n, found)
+
+
+def test_secrets_false_alarms():
+    """Dates, part numbers, product keys, named digests and digests of nothing stay; a digest's length alone excuses nothing."""
+    rng, encoder = random.Random(4), secrets.vocabulary()
+    tokens = lambda t: [s for s in secrets.spans(t, encoder)[1] if s[0] == "token"]
+    texts = ["2024-01-03T10-22-33-000Z-backup", "B0007XJ2K9-978-3-16-148410-0", "SKU-2024-AB12-CD34-EF56-7890", "VK7JG-NPHTM-C97JM-9MPGT-3V66T", "db-dump-2023-11-30-a8Kq0Zr9Lm2Wx7Tn", hashlib.sha1(b"").hexdigest().upper()]
+    for n in (32, 40, 64, 96, 128):
+        x = "".join(rng.choice("0123456789ABCDEF") for _ in range(n))
+        texts += [f"SHA256: {x}", f"md5sum={x}", f'"checksum": "{x}"', f"ETag: {x}", f"commit {x}", f"SHA512-{x}"]
+        assert tokens(f"key {x} end") == [("token", 4, 4 + n)]
+    assert not [t for t in texts if tokens(f"see {t} end")]
+    for _ in range(300):
+        d, part = rng.randrange(10**8), "-".join("".join(rng.choice("ABCDEFGHJK0123456789") for _ in range(rng.randint(2, 6))) for _ in range(6))
+        assert not tokens(f"file 20{d % 30:02d}-0{1 + d % 9}-1{d % 10}T{d % 24:02d}-{d % 60:02d}-{d % 59:02d}-log of {part} end")
+
+
 def duck(sql, **tables):
     con = duckdb.connect()
     for k, v in tables.items():
