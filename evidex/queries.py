@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from .functions import parse as P
 from .functions import text as X
 from .functions import vocab as V
-from .operators import answer, chunks, evaluate, fields, index, inverted, items, rerank, retrieve, stores
+from .operators import answer, chunks, evaluate, fields, index, inverted, items, merge, ranges, rerank, retrieve, stores
 from .plans import cache, ingest, router, search
-from .plans.settle import settle
+from .plans.settle import settle, shared_folder
 from .sources.corpus import read_table, rendered
 from .streaming import inbox
 
@@ -342,6 +342,20 @@ def replace_chunks(spark, sf):
     return stores.replace_chunks(old.select("doc_id", "role", "chunk_index"), new).select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "role")
 
 
+@query("""WITH d AS (SELECT doc_id, lang, n_chars, doc_id % 7 AS v FROM documents),
+u AS (SELECT doc_id, CASE WHEN doc_id % 20 = 0 AND doc_id % 7 <= 4 THEN 'new' ELSE lang END AS lang, n_chars, CASE WHEN doc_id % 20 = 0 AND v <= 4 THEN 4 ELSE v END AS updated_at FROM d
+UNION ALL SELECT -1 - doc_id, 'new', n_chars, 4 FROM d WHERE doc_id % 20 = 0)
+SELECT doc_id, lang, n_chars, updated_at, CASE WHEN doc_id % 30 = 0 AND doc_id >= 0 THEN 'failed' ELSE 'processed' END AS status, CASE WHEN doc_id % 30 = 0 AND doc_id >= 0 THEN 'bad file' END AS error_message FROM u WHERE doc_id % 50 <> 0 OR doc_id < 0""")
+def kept_documents(spark, sf):
+    """All documents as a stored table after an upsert, an update of states and a deletion, each of which rewrites only the buckets that it touches."""
+    d = read_table(spark, sf, "documents").select("doc_id", "lang", F.col("n_chars").cast("long").alias("n_chars"), (F.col("doc_id") % 7).alias("updated_at"), F.lit("processed").alias("status"), F.lit(None).cast("string").alias("error_message"))
+    table = merge.Kept(spark, f"{shared_folder(spark)}/kept-{uuid.uuid4().hex}", "doc_id long, lang string, n_chars long, updated_at long, status string, error_message string")
+    new = d.where("doc_id % 20 = 0").withColumn("updated_at", F.lit(4).cast("long")).withColumn("lang", F.lit("new"))
+    table.upsert(d).upsert(new.unionByName(new.withColumn("doc_id", -1 - F.col("doc_id"))))
+    table.update(d.where("doc_id % 30 = 0").select("doc_id", F.lit("failed").alias("status"), F.lit("bad file").alias("error_message")))
+    return table.delete(d.where("doc_id % 50 = 0").select("doc_id")).rows()
+
+
 @query("SELECT conv_id AS doc_id, count(*) AS n FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE turn = 0 AND role = 'system') AND conv_id % 2 = 1 GROUP BY 1")
 def delete_documents(spark, sf):
     c = read_table(spark, sf, "conversations").withColumnRenamed("conv_id", "doc_id")
@@ -488,6 +502,15 @@ def bm25_topk(spark, sf):
     return index.top_k(scored, 10).drop("chunk_index")
 
 
+@query(SQL["bm25_topk"])
+def bm25_bounded(spark, sf):
+    """The rows of bm25_topk from ranges with upper bounds."""
+    d = read_table(spark, sf, "documents").select("doc_id", F.lit(0).alias("chunk_index"), "text")
+    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    lists = ranges.ranged(d, ("text",)).write(f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}")
+    return ranges.bounded_top_k(lists, q, 10, {"text": 1.0}, 4).select("query_id", "doc_id", "score", F.col("rank"))
+
+
 MULTI = """f AS (SELECT p_partkey AS doc_id, unnest(['search_text', 'chunk_text', 'section', 'doc_number', 'supplier_name']) AS field, unnest([4.0, 3.0, 1.5, 2.0, 2.0]) AS boost, unnest([regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z0-9]+'), regexp_extract_all(lower(p_type), '[a-z0-9]+'), regexp_extract_all(lower(p_brand), '[a-z0-9]+'), ['=' || lower(p_brand)], ['=' || p_name]]) AS ts FROM part),
 st AS (SELECT field, count(*) AS n, CASE WHEN field IN ('doc_number', 'supplier_name') THEN 1.0 ELSE avg(len(ts)) END AS mean FROM f GROUP BY 1), t AS (SELECT DISTINCT query_id, unnest(list_append(regexp_extract_all(lower(text), '[a-z0-9]+'), '=' || text)) AS w FROM q),
 p AS (SELECT doc_id, field, boost, len, w, count(*) AS tf FROM (SELECT doc_id, field, boost, len(ts) AS len, unnest(ts) AS w FROM f) GROUP BY ALL), df AS (SELECT field, w, count(*) AS df FROM p GROUP BY 1, 2),
@@ -495,15 +518,28 @@ b AS (SELECT query_id, doc_id, field, sum(boost * ln(1 + (n - df + 0.5) / (df +
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (SELECT query_id, doc_id, round(max(s), 6) AS score FROM b GROUP BY 1, 2))"""
 
 
+def part_fields(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Parts as chunks of five fields, and queries by name and brand of those whose id is divisible by 20."""
+    d = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat_ws(" ", "p_name", "p_type").alias("search_text"), F.col("p_type").alias("chunk_text"), F.col("p_brand").alias("section"), F.lower("p_brand").alias("doc_number"), F.col("p_name").alias("supplier_name"))
+    own = d.where("doc_id % 20 = 0")
+    return d, own.select(F.col("doc_id").alias("query_id"), F.col("supplier_name").alias("text")).unionByName(own.select((-1 - F.col("doc_id")).alias("query_id"), F.col("doc_number").alias("text")))
+
+
 @query(f"WITH q AS (SELECT p_partkey AS query_id, p_name AS text FROM part WHERE p_partkey % 20 = 0 UNION ALL SELECT -1 - p_partkey, lower(p_brand) FROM part WHERE p_partkey % 20 = 0), {MULTI} SELECT query_id, doc_id, round(score, 4) AS score, rank FROM k WHERE rank <= 10")
 def multi_field_topk(spark, sf):
     """Boosted fields, two of which match as whole values only, over the parts."""
-    d = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("chunk_index"), F.concat_ws(" ", "p_name", "p_type").alias("search_text"), F.col("p_type").alias("chunk_text"), F.col("p_brand").alias("section"), F.lower("p_brand").alias("doc_number"), F.col("p_name").alias("supplier_name"))
-    own = d.where("doc_id % 20 = 0")
-    q = own.select(F.col("doc_id").alias("query_id"), F.col("supplier_name").alias("text")).unionByName(own.select((-1 - F.col("doc_id")).alias("query_id"), F.col("doc_number").alias("text")))
+    d, q = part_fields(spark, sf)
     return index.top_k(index.bm25(d, q).withColumn("score", F.round("score", 6)), 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(SQL["multi_field_topk"])
+def multi_field_bounded(spark, sf):
+    """The rows of multi_field_topk from ranges with upper bounds, of the best of five fields."""
+    d, q = part_fields(spark, sf)
+    lists = ranges.ranged(d, inverted.FIELDS).write(f"{shared_folder(spark)}/ranges-{uuid.uuid4().hex}")
+    return ranges.bounded_top_k(lists, q, 10).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
 HASHED = """hv AS (WITH t AS (SELECT id, sha1(unnest(regexp_extract_all(lower(text), '[a-z0-9]{2,}'))) AS h FROM hsrc),
 s AS (SELECT id, CAST(('0x' || substring(h, 1, 8)) AS BIGINT) % 384 AS slot, sum(CASE WHEN CAST(('0x' || substring(h, 9, 2)) AS BIGINT) % 2 = 0 THEN 1.0 ELSE -1.0 END) AS v FROM t GROUP BY 1, 2)
 SELECT id, slot, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS value FROM s WHERE v <> 0)"""
