@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 
 from .stores import delete_documents, enrich_chunks, replace_chunks, update_documents, upsert_latest
 
-STATE = "places map<int,int>, buckets int, made string, state int"
+STATE = "places map<int,int>, buckets int, made string, columns string, state int"
 
 
 class Kept:
-    """A table in a folder that all executors share, by bucket of its key. schema: its columns as a DDL string; buckets: for a new table, one that is there keeps its own.
+    """A table in a folder that all executors share, by bucket of its key. schema (its columns as a DDL string) and buckets are for a new table; one that is there keeps its own.
 
     An object always reads the newest state. The versions of all buckets (`buckets` pairs of numbers) pass through the driver, rows never do.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "doc_id", buckets: int = 64):
+    def __init__(self, spark: SparkSession, root: str, schema: str | None = None, key: str = "doc_id", buckets: int = 64):
         self.spark, self.root, self.schema, self.key, self.buckets = spark, root.rstrip("/"), schema, key, buckets
 
     def state(self) -> tuple[int, dict[int, int]]:
@@ -37,7 +37,7 @@ class Kept:
             r = None
         if r is None:
             return 0, {}
-        self.buckets = r["buckets"]
+        self.buckets, self.schema = r["buckets"], r["columns"]
         return r["state"], dict(r["places"])
 
     def bucket(self) -> Column:
@@ -64,7 +64,7 @@ class Kept:
         made names the change: the last one isn't made twice, as a batch of a stream is that comes again.
         """
         state, places = self.state()
-        if made is not None and made == self._made(state):
+        if made is not None and made == self.last():
             return self
         own = {r[0] for r in touched.select(self.bucket()).distinct().collect()}
         n, path = state + 1, f"{self.root}/rows/version={state + 1}"
@@ -74,12 +74,14 @@ class Kept:
         if not held <= own:
             raise ValueError(f"rows of untouched buckets {sorted(held - own)}")
         places = {**{b: v for b, v in places.items() if b not in own}, **dict.fromkeys(held, n)}
-        row = self.spark.createDataFrame([(places, self.buckets, made)], "places map<int,int>, buckets int, made string")
+        row = self.spark.createDataFrame([(places, self.buckets, made, self.schema)], "places map<int,int>, buckets int, made string, columns string")
         row.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/states/state={n}")
         return self
 
-    def _made(self, state: int) -> str | None:
-        return self.spark.read.schema(STATE).parquet(f"{self.root}/states/state={state}").first()["made"] if state else None
+    def last(self) -> str | None:
+        """The name of the last change, if it had one."""
+        n = self.state()[0]
+        return self.spark.read.schema(STATE).parquet(f"{self.root}/states").where(F.col("state") == n).first()["made"] if n else None
 
     # ---- changes of documents and chunks, by the rules of `stores` ----
     def upsert(self, new: DataFrame, at: str = "updated_at", made: str | None = None) -> Kept:

@@ -7,6 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.inverted import Stored
+from ..operators.merge import Kept
+from ..operators.stores import delete_documents
+from ..plans.ingest import REGISTRY, Corpus, ingest_files
+from ..plans.settle import settle
 from ..sources.corpus import FILE_SCHEMA, with_checksum
 
 
@@ -40,6 +45,54 @@ def run_inbox(spark: SparkSession, path: str, target: str, checkpoint: str, hand
     return q
 
 
+class Inbox:
+    """A folder of files ingested as a stream into stored tables under root: registry, documents, chunks, items, and the index of the chunks.
+
+    Each batch asks the registry what to do with its files (`ingest_files`), replaces the rows of its documents bucket by bucket, then
+    the index, and writes the registry last, under the batch's name. A batch that was cut off anywhere comes again with the same plan and ids and
+    replaces what it left; one that was registered is not made again.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+        self.registry = Kept(spark, f"{self.root}/registry", REGISTRY, key="path", buckets=buckets)
+
+    def table(self, name: str, like: DataFrame | None = None) -> Kept:
+        """documents, chunks or items; `like` gives the columns where the table is new."""
+        schema = None if like is None else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in like.schema.fields)
+        return Kept(self.spark, f"{self.root}/{name}", schema, buckets=self.buckets)
+
+    def take(self, files: DataFrame, name: str, reader: Callable | None = None, force: bool = False) -> None:
+        """One batch of files (path, source_filename, checksum, content) under its name."""
+        files = files.select("path", "source_filename", "checksum", "content")
+        if self.registry.last() == name or files.isEmpty():
+            return
+        corpus, done = ingest_files(files, self.registry.rows(), reader, force)
+        done = settle(done)
+        read = done.where("action <> 'duplicate'").select("doc_id")
+        for part in ("documents", "chunks", "items"):
+            new = getattr(corpus, part)
+            self.table(part, new).rewrite(read, lambda old, new=new: delete_documents(old, read).unionByName(new))
+        index = Stored(self.spark, f"{self.root}/index", self.buckets)
+        if not read.join(corpus.chunks, "doc_id", "left_anti").isEmpty():  # files that are held and can't be read any more
+            index.delete(read.join(corpus.chunks, "doc_id", "left_anti"))
+        if not corpus.chunks.isEmpty():
+            index.add(corpus.chunks)
+        rows = done.where("action <> 'duplicate'").select("doc_id", "path", "checksum", "status", "error_message", F.current_timestamp().alias("created_at"))
+        self.registry.rewrite(rows, lambda old: old.join(rows, "path", "left_anti").unionByName(rows), name)
+
+    def run(self, path: str, checkpoint: str, reader: Callable | None = None, glob: str = "*.pdf", force: bool = False, files_per_trigger: int = 1000):
+        """Take what is in the folder path now; a later call with the same checkpoint goes on from there. Returns the finished query."""
+        stream = watch(self.spark, path, glob, files_per_trigger)
+        batch = lambda files, n: self.take(files, f"{checkpoint}#{n}", reader, force)
+        q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        return q
+
+    def corpus(self) -> Corpus:
+        return Corpus(*[self.table(n).rows() for n in ("documents", "chunks", "items")], Stored(self.spark, f"{self.root}/index", self.buckets))
+
+
 def windowed_counts(log: DataFrame, at: str, by: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """window_start, by, n, total of a log (stream or table) with a `value`."""
     base = log.withWatermark(at, delay) if log.isStreaming else log
