@@ -254,6 +254,55 @@ def test_compact_passage_with_a_common_phrase(spark):
     assert {(r.doc_id, r.match_id) for r in got} == want | {(b, a) for a, b in want}
 
 
+def crowded_pairs(pairs=150):
+    """Texts that all hold one phrase of 42 words (38 of the 46 shingles of a passage); document i and i + pairs share four words on either side of it, too."""
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrase, left, right = fresh(42), [], []
+    for i in range(pairs):
+        x = fresh(4) + phrase + fresh(4)
+        left.append((i, " ".join(fresh(45) + x + fresh(45))))
+        right.append((pairs + i, " ".join(fresh(45) + x + fresh(45))))
+    return left + right
+
+
+def test_compact_pairs_in_a_crowd(spark):
+    """Of a group larger than SMALL no link between unconnected documents is lost."""
+    pairs = 150
+    got = compact.near_passages(spark.createDataFrame(crowded_pairs(pairs), "doc_id long, text string")).collect()
+    want = {(i, i + pairs) for i in range(pairs)}
+    assert {(r.doc_id, r.match_id) for r in got} == want | {(b, a) for a, b in want}
+    assert all(r.group_id == r.doc_id % pairs for r in got)
+
+
+def test_compact_first_shingles():
+    """Windows inside two nodes' extents that are similar enough share a returned value, by the kinds that are compared."""
+    rng = np.random.default_rng(4)
+    t, tried = compact.SHINGLES, 0
+    for k in range(300):
+        x = rng.integers(1, 1 << 40, 91, dtype=np.uint64)
+        if k % 3 == 0:  # repeated values
+            x[rng.integers(0, 91, 12)] = x[rng.integers(0, 91, 12)]
+        y = x.copy()
+        y[rng.integers(0, 91, int(rng.integers(4, 14)))] = rng.integers(1, 1 << 40, 1, dtype=np.uint64) if k % 2 else 77
+        i, value, kind = compact.first_shingles(np.concatenate([x, y]), np.array([0, 91]), np.array([90, 181]))
+        a, b = (dict(zip(value[i == j].tolist(), kind[i == j].tolist(), strict=True)) for j in (0, 1))
+        met = any(b[v] != compact.LATER and c != compact.LATER or compact.REPEATED in (b[v], c) for v, c in a.items() if v in b)
+        if any(len(p & q) >= compact.SIMILAR * len(p | q) for s in range(46) for p, q in [(set(x[s : s + t].tolist()), set(y[s : s + t].tolist()))]):
+            tried += 1
+            assert met
+    assert tried > 50
+
+
+def test_compact_unconnected_pairs():
+    rng = np.random.default_rng(3)
+    key, part = rng.integers(0, 6, 200), rng.integers(0, 4, 200)
+    o = np.lexsort((part, key))
+    key, part = key[o], part[o]
+    got = [(int(a), int(b)) for x, y in compact.unconnected(key, part, 50) for a, b in zip(x, y, strict=True)]
+    assert sorted(got) == [(a, b) for a in range(200) for b in range(a + 1, 200) if key[a] == key[b] and part[a] != part[b]]
+
+
 def near_copies(pairs=400):
     """Pairs of texts that share nothing but a passage of 50 words, changed inside, and the pairs whose passages have a similarity of at least 0.75."""
     rng = random.Random(7)
