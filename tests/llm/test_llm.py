@@ -1,10 +1,13 @@
 """Operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows, clashing columns and empty tables."""
 
+import glob
 import hashlib
 import os
 import random
 import string
 import re
+import tempfile
+import time
 import zlib
 
 import duckdb
@@ -275,6 +278,26 @@ def test_compact_pairs_in_a_crowd(spark):
     assert all(r.group_id == r.doc_id % pairs for r in got)
 
 
+def shuffled_files():
+    """Sizes of the shuffle files of this machine's sessions by path."""
+    tops = os.environ.get("SPARK_LOCAL_DIRS", tempfile.gettempdir()).split(",")
+    return {p: os.path.getsize(p) for top in tops for p in glob.glob(f"{top}/**/blockmgr-*/*/shuffle_*.data", recursive=True) if os.path.exists(p)}
+
+
+def test_compact_clears_its_shuffles(spark):
+    """Texts, nodes and candidates that were shuffled don't stay on the disk."""
+    docs = spark.createDataFrame(crowded_pairs(100), "doc_id long, text string")
+    before, out = shuffled_files(), compact.near_passages(docs)
+    for _ in range(20):  # files are removed beside the job
+        left = sum(n for p, n in shuffled_files().items() if p not in before)
+        if left < 60_000:
+            break
+        time.sleep(0.5)
+    assert left < 60_000  # edges and components only
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert out.count() == 200
+
+
 def test_compact_first_shingles():
     """Windows inside two nodes' extents that are similar enough share a returned value, by the kinds that are compared."""
     rng = np.random.default_rng(4)
