@@ -265,3 +265,23 @@ def test_filters_of_accented_texts(spark, tmp_path, name):
     want = con.execute(Q.SQL[name])
     cols = [c[0] for c in want.description]
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), cols)
+
+
+def test_hashed_embeddings_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "Part part no 7, P-001 nos"), (2, None), (3, "a b c"), (4, "\u00e9tion two two TWO")], "doc_id long, text string")
+    got = index.hashed(rows, ["doc_id"], "text")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    v = {}
+    for r in rows.select("doc_id", F.explode(X.hash_slots("text", 384)).alias("h")).collect():
+        v[r.doc_id, r.h["slot"]] = v.get((r.doc_id, r.h["slot"]), 0.0) + r.h["sign"]
+    norm = {d: sum(x * x for (e, _), x in v.items() if e == d) ** 0.5 for d, _ in v}
+    assert {(r.doc_id, r.slot): r.value for r in got.collect()} == {k: x / norm[k[0]] for k, x in v.items() if x}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_hits_are_scored_once_and_only_their_documents_are_read(spark, monkeypatch):
+    calls, scored = [], retrieve.term_scored
+    monkeypatch.setattr(retrieve, "term_scored", lambda *a: calls.append(1) or scored(*a))
+    *_, top, docs = Q.row_hits(spark, SF)
+    assert docs.count() == top.select("doc_id").distinct().count() and len(calls) == 1
+    assert Q.QUERIES["structured_merge"](spark, SF).count() and len(calls) == 2
