@@ -317,6 +317,19 @@ def test_compact_first_shingles():
     assert tried > 50
 
 
+def test_compact_lists_every_pair_of_a_connected_group(spark):
+    """Documents that are connected already: each of their pairs has its passage, in groups of any size."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(8))
+    shared = [[word() for _ in range(60)] for _ in range(2)]
+    rows = [(i, " ".join([*(word() for _ in range(30)), *shared[0], *(word() for _ in range(70)), *(shared[1] if i % 2 else []), *(word() for _ in range(30))])) for i in range(24)]
+    got = compact.near_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.match_id) for r in got} == {(a, b) for a in range(24) for b in range(24) if a != b}
+    second = {(r.doc_id, r.match_id) for r in got if r.start_word <= 160 and r.end_word >= 220}
+    assert second == {(a, b) for a in range(1, 24, 2) for b in range(1, 24, 2) if a != b}
+    assert {r.group_id for r in got} == {0}
+
+
 def test_compact_unconnected_pairs():
     rng = np.random.default_rng(3)
     key, part = rng.integers(0, 6, 200), rng.integers(0, 4, 200)
